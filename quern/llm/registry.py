@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import minhash, repair, sentencepiece_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": sentencepiece_bpe.op1,
+    "op2_repair_ids": repair.op2,
     "op10_near_duplicates": minhash.op10,
 }
 

@@ -62,9 +62,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         near = F.slice("h", F.greatest(F.col("at") - BEFORE, F.lit(0)) + 1, F.lit(BEFORE + AFTER + 1))
         here = here.select("doc_id", "seed", near.alias("h"), F.least(F.col("at"), F.lit(BEFORE)).alias("at"))
         hits = here.join(seeds, "seed")
-    equal = [F.coalesce((F.get("h", F.col("at") + (j - BEFORE)) == F.get("around", F.lit(j))).cast("int"), F.lit(0)).alias(f"e{j}") for j in range(BEFORE + AFTER + 1)]
-    hits = hits.select("doc_id", "item_id", "need", *equal)
-    windows = [reduce(add, [F.col(f"e{j}") for j in range(s, s + WINDOW)]) for s in range(BEFORE + 1)]
+    # one bit for each aligned position whose words agree
+    equal = [F.coalesce((F.get("h", F.col("at") + (j - BEFORE)) == F.get("around", F.lit(j))).cast("int"), F.lit(0)) * (1 << j) for j in range(BEFORE + AFTER + 1)]
+    hits = hits.select("doc_id", "item_id", "need", reduce(add, equal).alias("bits"))
+    windows = [F.bit_count(F.shiftright("bits", s).bitwiseAND(F.lit((1 << WINDOW) - 1))) for s in range(BEFORE + 1)]
     return (
         hits.select("doc_id", "item_id", "need", F.greatest(*windows).cast("long").alias("matched"))
         .where("matched >= need")
@@ -99,15 +100,21 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql(name: str, key: str, source: str) -> str:
     return rf"""{name} AS (
-  SELECT {key}, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), x -> x <> '') AS h FROM {source}
+  SELECT {key}, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS h FROM {source}
 )"""
 
 
 def _sql_seeds(name: str, key: str, source: str) -> str:
+    ahead = ", ".join(f"lead(w, {o}) OVER p AS w{o}" for o in range(1, SPAN))
     one = " UNION ALL ".join(
-        f"SELECT {key}, h, at, concat_ws(' ', {m}, {', '.join(f'h[at + {o + 1}]' for o in mask)}) AS seed FROM {source}_at" for m, mask in enumerate(MASKS)
+        f"SELECT {key}, pos, concat_ws(' ', {m}, {', '.join(f'w{o}' if o else 'w' for o in mask)}) AS seed FROM {source}_at WHERE w{SPAN - 1} IS NOT NULL"
+        for m, mask in enumerate(MASKS)
     )
-    return f"""{source}_at AS (SELECT {key}, h, unnest(range(0, len(h) - {SPAN} + 1)) AS at FROM {source} WHERE len(h) >= {SPAN}),
+    return f"""{source}_at AS (
+  SELECT {key}, pos, w, {ahead}
+  FROM (SELECT {key}, unnest(h) AS w, unnest(range(0, len(h))) AS pos FROM {source})
+  WINDOW p AS (PARTITION BY {key} ORDER BY pos)
+),
 {name} AS ({one})"""
 
 
@@ -118,12 +125,14 @@ def oracle_parts(documents: str = "documents") -> str:
 {_sql_seeds("doc_seeds", "doc_id", "doc_words")},
 {_sql_seeds("item_seeds", "item_id", "item_words")},
 diagonals AS (
-  SELECT DISTINCT d.doc_id, i.item_id, d.h AS dh, i.h AS ih, d.at - i.at AS shift FROM doc_seeds d JOIN item_seeds i USING (seed)
+  SELECT doc_id, item_id, dw.h AS dh, iw.h AS ih, shift
+  FROM (SELECT DISTINCT d.doc_id, i.item_id, d.pos - i.pos AS shift FROM doc_seeds d JOIN item_seeds i USING (seed))
+  JOIN doc_words dw USING (doc_id) JOIN item_words iw USING (item_id)
 ),
 scored AS (
   SELECT doc_id, item_id, len(ih) AS n,
-    list_transform(range(-{WINDOW - 1}, len(ih)), s -> list_sum(list_transform(range(s, s + {WINDOW}),
-      i -> CASE WHEN i >= 0 AND i < len(ih) AND i + shift >= 0 AND i + shift < len(dh) AND ih[i + 1] = dh[i + shift + 1] THEN 1 ELSE 0 END))) AS sums
+    list_transform(range(-{WINDOW - 1}, len(ih)), lambda s: list_sum(list_transform(range(s, s + {WINDOW}),
+      lambda i: CASE WHEN i >= 0 AND i < len(ih) AND i + shift >= 0 AND i + shift < len(dh) AND ih[i + 1] = dh[i + shift + 1] THEN 1 ELSE 0 END))) AS sums
   FROM diagonals
 ),
 overlap AS (SELECT doc_id, item_id, max(list_max(sums)) AS matched FROM scored WHERE list_max(sums) >= least({NEED}, n) GROUP BY ALL),

@@ -8,8 +8,8 @@ count and mantissa bits (HyperMinHash). Bands of registers propose candidates.
 Hot groups: copies with equal sets collapse to one representative before banding. A band bucket of at
 most SMALL members proposes its pairs directly; those are screened by the collision-corrected Jaccard
 estimate of the registers and then confirmed on the full sets. Members of larger buckets are gathered
-into clusters (components over the bucket memberships), a cluster is cut into blocks by hash, and each
-pair of blocks is one task that counts intersections on the full sets by matrix products and returns
+into clusters (components over the bucket memberships), a cluster is cut by set size and hash into
+blocks, and each pair of blocks of compatible sizes is one task that counts intersections on the full sets by matrix products and returns
 only a spanning forest of the confirmed links. No bucket is capped and no pair of an unequal text that
 shares a band is left out.
 """
@@ -32,7 +32,7 @@ from .common import components, cut, table
 #: members of a band bucket up to which its pairs are listed
 SMALL = 24
 #: expected members of a block of a large cluster
-BLOCK = 160
+BLOCK = 320
 MANTISSA = 26
 MAX_WORDS_CACHED = 1 << 19
 
@@ -221,7 +221,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, bands: int
     linked. Rows that repeat a doc_id with the same text count as one document. Other columns of docs
     are not looked at. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     sk = cut(sketch(docs, k, bands, rows))
     real = sk.where("n > 0")
@@ -276,7 +275,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, bands: int
 
     # large buckets: clusters, cut into blocks
     large = buckets.where(F.col("members") > SMALL).select(F.col("doc_id").alias("src"), F.col("least").alias("dst"))
-    many_links = _links_of_clusters(spark, large, texts, k, threshold)
+    many_links = _links_of_clusters(large, rep_rows.select("doc_id", "n").dropDuplicates(["doc_id"]), texts, k, threshold)
 
     links = cut(few_links.unionByName(many_links))
     comp = components(links)
@@ -290,27 +289,42 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, bands: int
     )
 
 
-def _links_of_clusters(spark: SparkSession, edges: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
+def _links_of_clusters(edges: DataFrame, counts: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
     schema = T.StructType([T.StructField("src", T.LongType()), T.StructField("dst", T.LongType())])
-    cluster = cut(components(edges))
-    sizes = cluster.groupBy("component").agg(F.count("*").alias("members")).select("component", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    placed = cluster.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
+    # linked sets differ in size by the threshold at most, so only blocks of the same or the next size class meet
+    step = math.log(100 / threshold)
+    cluster = cut(components(edges).join(counts, F.col("node") == F.col("doc_id")).select("doc_id", "component", F.floor(F.log(F.col("n").cast("double")) / step).cast("int").alias("class")))
+    blocks = cluster.groupBy("component", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    near = blocks.select("component", (F.col("class") + 1).alias("class"), F.col("blocks").alias("under"))
+    above = blocks.select("component", (F.col("class") - 1).alias("class"), F.col("blocks").alias("over"))
+    blocks = blocks.join(near, ["component", "class"], "left").join(above, ["component", "class"], "left").fillna(0, ["under", "over"])
+    placed = cluster.join(blocks, ["component", "class"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+
+    def others(size: str, shift: int) -> str:
+        return f"transform(filter(sequence(0, {size}), i -> i < {size}), i -> struct(class + {shift} as class, i as block))"
+
     spread = placed.join(texts, "doc_id").select(
-        "component", "doc_id", "text", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")
+        "component",
+        "doc_id",
+        "text",
+        F.expr("struct(class, own as block)").alias("own"),
+        F.explode(F.expr(f"concat({others('under', -1)}, {others('blocks', 0)}, {others('over', 1)})")).alias("other"),
     )
     spread = spread.select("component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "doc_id", "own", "text")
+    spread = spread.select("component", F.col("x.class").alias("xc"), F.col("x.block").alias("xb"), F.col("y.class").alias("yc"), F.col("y.block").alias("yb"), (F.col("own") == F.col("x")).alias("first"), "doc_id", "text")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("doc_id").sort_values("doc_id")
         words = _Words()
         sets = [shingle_set(t, k, words) for t in pdf["text"]]
-        own = pdf["own"].to_numpy()
+        own = pdf["first"].to_numpy()
         # pairs inside a block belong to the task of that block with itself
-        cross = None if pdf["x"].iloc[0] == pdf["y"].iloc[0] else own[:, None] != own[None, :]
+        alone = pdf["xc"].iloc[0] == pdf["yc"].iloc[0] and pdf["xb"].iloc[0] == pdf["yb"].iloc[0]
+        cross = None if alone else own[:, None] != own[None, :]
         found = links_of_block(pdf["doc_id"].to_numpy(), sets, threshold, cross)
         return pd.DataFrame(found, columns=["src", "dst"], dtype="int64")
 
-    return spread.groupBy("component", "x", "y").applyInPandas(run, schema)
+    return spread.groupBy("component", "xc", "xb", "yc", "yb").applyInPandas(run, schema)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, repair, sentencepiece_bpe
+from . import decontaminate, language_id, minhash, repair, sentencepiece_bpe, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": sentencepiece_bpe.op1,
     "op2_repair_ids": repair.op2,
+    "op3_language_id": language_id.op3,
+    "op6_toxicity": toxicity.op6,
+    "op9_decontaminate": decontaminate.op9,
     "op10_near_duplicates": minhash.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_decontaminate": decontaminate.ORACLE,
+}

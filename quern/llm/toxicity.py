@@ -215,7 +215,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of docs, then score (0 to 1) and predicted (1 from 0.5 on). Null and empty texts are scored as texts without words."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = [c for c in docs.columns if c not in ("score", "predicted")]
-    schema = docs.select(*columns).schema.add("score", "double").add("predicted", "int")
+    schema = docs.select(*columns).schema.add("score", "double").add("predicted", "integer")
     where = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 #: fixed values: white space as the normaliser understands it, the marker at a reference's start, and the characters removed
 SPACE = r"(?U)[\s\x1c-\x1f]"
-MARKER = r"^(?U)[\s\x1c-\x1f]*\[(?:RAW|NORM)\][\s\x1c-\x1f]*"
-PUNCTUATION = r"[\p{P}\p{S}]"
+MARKER = r"(?U)^\[(?:RAW|NORM)\][\s\x1c-\x1f]*"
+PUNCTUATION = r"[，。！？；：、“”‘’（）()【】《》〈〉—…·,.!?;:\"'`\[\]{}]"
 
 #: traditional to simplified characters (a small pinned table, not a full conversion)
 TRADITIONAL = "發學會個這來時說國對開們為東車馬門問間聽買賣讀寫話語請謝後點錢電腦機飛氣樂應該見現視頭髮長樣歡愛"
@@ -83,7 +83,7 @@ def abnormal_reasons(text: Column) -> Column:
     rules = (
         (F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, "") == "", "empty_text"),
         (text.rlike(r"\x{FFFD}"), "unicode_replacement_character"),
-        (text.rlike(r"[\p{Cc}\p{Cs}&&[^\t\n\r]]"), "control_or_surrogate"),
+        (text.rlike(r"[\p{Cc}\p{Cs}&&[^\t\n\r]]"), "control_or_surrogate_character"),
         (text.rlike(r"([，。！？,.!?;；])\1{7}"), "punctuation_run"),
     )
     return reasons(rules)

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: fixed values: white space as the normaliser understands it, the marker at a reference's start, and the characters removed
 SPACE = r"(?U)[\s\x1c-\x1f]"
@@ -38,7 +39,7 @@ def normalize_competition(text: Column) -> Column:
     return normalize_prediction(F.coalesce(text, F.lit("")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 

@@ -7,6 +7,7 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .score import DELETED, INSERTED, align
 
@@ -132,7 +133,7 @@ def rover(texts: list[str], anchor: int, gaps_win: bool = False) -> str:
     return "".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def rover_vote(texts: pd.Series, anchor: pd.Series) -> pd.Series:
     """C6 over an array of normalised texts and a 0-based anchor."""
     return pd.Series([rover([t or "" for t in x], int(a)) for x, a in zip(texts, anchor, strict=True)])
@@ -140,4 +141,4 @@ def rover_vote(texts: pd.Series, anchor: pd.Series) -> pd.Series:
 
 def cosine_factor(step: Column, warmup: int, horizon: int) -> Column:
     """C14."""
-    return F.when(step < warmup, (step + 1) / F.lit(max(1, warmup))).otherwise((F.cos((step - warmup) / F.lit(float(horizon - warmup)) * F.pi()) + 1) * 0.5)
+    return F.when(step < warmup, step / F.lit(float(warmup))).otherwise((F.cos((step - warmup) / F.lit(float(horizon - warmup)) * F.pi()) + 1) * 0.5)

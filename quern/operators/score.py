@@ -7,9 +7,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 DELETED, INSERTED = "<del>", "<ins>"
-PAIRS = "array<struct<src:string,dst:string>>"
+PAIRS = ArrayType(StructType([StructField("src", StringType()), StructField("dst", StringType())]))
 
 
 def align(reference: str, hypothesis: str) -> list[tuple[str, str]]:

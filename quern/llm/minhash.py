@@ -6,12 +6,13 @@ shingle hash selects one of m buckets; a bucket keeps its least hash as a regist
 count and mantissa bits (HyperMinHash). Bands of registers propose candidates.
 
 Hot groups: copies with equal sets collapse to one representative before banding. A band bucket of at
-most SMALL members proposes its pairs directly; those are screened by the collision-corrected Jaccard
-estimate of the registers and then confirmed on the full sets. Members of larger buckets are gathered
-into clusters (components over the bucket memberships), a cluster is cut by set size and hash into
-blocks, and each pair of blocks of compatible sizes is one task that counts intersections on the full sets by matrix products and returns
-only a spanning forest of the confirmed links. No bucket is capped and no pair of an unequal text that
-shares a band is left out.
+most SMALL members proposes its pairs directly. Members of larger buckets are first held against a few
+hubs, those members of their buckets with the least share of shingles that nobody else in large buckets
+has; what links with a hub is in its component. After that only pairs of different components are left,
+and of those only pairs whose shared shingles could reach the threshold at all: a set of n shingles of
+which u occur nowhere else shares at most n - u with any other. All proposed pairs are screened by the
+collision-corrected Jaccard estimate of the registers and confirmed on the full sets. No bucket is capped
+and no pair of unequal sets that shares a band and could be in two components is left out.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,8 +32,8 @@ from .common import components, cut, table
 
 #: members of a band bucket up to which its pairs are listed
 SMALL = 24
-#: expected members of a block of a large cluster
-BLOCK = 320
+#: hubs that a member of large buckets is held against before the remaining pairs are sought
+HUBS = 3
 MANTISSA = 26
 MAX_WORDS_CACHED = 1 << 19
 
@@ -146,71 +147,61 @@ def sketch(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def _confirm(pairs: DataFrame, k: int, threshold: int) -> DataFrame:
-    """a, b of pairs whose full sets reach the threshold."""
+def _alone(texts: DataFrame, k: int) -> DataFrame:
+    """doc_id, u: the number of shingles of each text that no other of the texts has. Counts are combined before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), k, words).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "s"])
+
+    each = texts.select("doc_id", "text").mapInArrow(run, "doc_id long, s array<long>").select("doc_id", F.explode("s").alias("s"))
+    once = each.groupBy("s").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc_id")).where("c = 1")
+    return once.groupBy("doc_id").agg(F.count("*").alias("u"))
+
+
+def _possible(n: str, u: str, m: str, v: str, threshold: int) -> Column:
+    """Whether sets of n and m shingles, of which u and v stand alone, could reach the threshold."""
+    shared = F.least(F.col(n) - F.col(u), F.col(m) - F.col(v))
+    return F.lit(100 + threshold) * shared >= F.lit(threshold) * (F.col(n) + F.col(m))
+
+
+def _confirm(pairs: DataFrame, regs: DataFrame, texts: DataFrame, k: int, threshold: int, m: int) -> DataFrame:
+    """src, dst of the pairs whose estimate is not far below the threshold and whose full sets reach it."""
+    margin = threshold / 100 - 5 * math.sqrt(threshold / 100 * (1 - threshold / 100) / m)
+
+    @F.pandas_udf(T.BooleanType())
+    def near(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
+        if not len(a):
+            return pd.Series([], dtype=bool)
+        x = np.frombuffer(b"".join(a), np.uint32).reshape(len(a), -1)
+        y = np.frombuffer(b"".join(b), np.uint32).reshape(len(b), -1)
+        few = np.minimum(na, nb) < 4 * m  # registers of small sets depend on each other; those go on to the sets
+        return pd.Series((estimate(x, y) >= margin) | few.to_numpy())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         last: tuple[int | None, np.ndarray] = (None, np.empty(0, np.uint64))
         for batch in batches:
             keep = []
-            for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if last[0] != a:
-                    last = (a, shingle_set(ta.as_py(), k, words))
-                x, y = last[1], shingle_set(tb.as_py(), k, words)
+            for b, ta, tb in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if last[0] != b:
+                    last = (b, shingle_set(tb.as_py(), k, words))
+                x, y = shingle_set(ta.as_py(), k, words), last[1]
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= threshold * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("src", "dst", "text_a", "text_b").mapInArrow(run, "src long, dst long")
-
-
-def _forest(adjacent: np.ndarray) -> list[tuple[int, int]]:
-    """Edges (node, least node of its component) of a boolean adjacency matrix."""
-    n = len(adjacent)
-    label = np.full(n, -1)
-    out = []
-    for root in range(n):
-        if label[root] >= 0:
-            continue
-        label[root] = root
-        front = np.array([root])
-        while len(front):
-            new = np.flatnonzero(adjacent[front].any(axis=0) & (label < 0))
-            label[new] = root
-            out += [(int(x), root) for x in new]
-            front = new
-    return out
-
-
-def links_of_block(ids: np.ndarray, sets: list[np.ndarray], threshold: int, cross: np.ndarray | None = None, width: int = 4096) -> list[tuple[int, int]]:
-    """A spanning forest of the links between the sets; intersections by products of incidence matrices of `width` shingles at a time."""
-    n = len(sets)
-    if n < 2:
-        return []
-    sizes = np.array([len(s) for s in sets], np.int64)
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(n), sizes)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    code = np.concatenate(([0], np.cumsum(flat[1:] != flat[:-1]))) if len(flat) else np.empty(0, np.int64)
-    shared = np.bincount(code)[code] > 1
-    code, owner = code[shared], owner[shared]
-    code = np.unique(code, return_inverse=True)[1] if len(code) else code
-    common = np.zeros((n, n), np.float32)
-    top = int(code.max()) + 1 if len(code) else 0
-    for at in range(0, top, width):
-        lo, hi = np.searchsorted(code, (at, at + width))
-        matrix = np.zeros((n, min(width, top - at)), np.float32)
-        matrix[owner[lo:hi], code[lo:hi] - at] = 1
-        common += matrix @ matrix.T
-    inter = common.astype(np.int64)
-    union = sizes[:, None] + sizes[None, :] - inter
-    linked = (100 * inter >= threshold * union) & (sizes[:, None] > 0) & (sizes[None, :] > 0)
-    np.fill_diagonal(linked, False)
-    if cross is not None:
-        linked &= cross
-    return [(int(ids[a]), int(ids[b])) for a, b in _forest(linked)]
+    screened = (
+        pairs.join(regs.select(F.col("doc_id").alias("src"), F.col("regs").alias("ra"), F.col("n").alias("na")), "src")
+        .join(regs.select(F.col("doc_id").alias("dst"), F.col("regs").alias("rb"), F.col("n").alias("nb")), "dst")
+        .where(near("ra", "rb", "na", "nb"))
+        .select("src", "dst")
+    )
+    read = texts.select("doc_id", "text").dropDuplicates(["doc_id"])
+    with_text = cut(screened).join(read.select(F.col("doc_id").alias("src"), F.col("text").alias("text_a")), "src").join(read.select(F.col("doc_id").alias("dst"), F.col("text").alias("text_b")), "dst")
+    return with_text.select("src", "dst", "text_a", "text_b").mapInArrow(run, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, bands: int = 31, rows: int = 4) -> DataFrame:
@@ -233,7 +224,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, bands: int
     sizes = banded.groupBy("key").agg(F.count("*").alias("members"), F.min("doc_id").alias("least")).where("members > 1")
     buckets = cut(banded.join(sizes, "key"))
 
-    # small buckets: all pairs, screened by size and by the estimate
+    # small buckets: all pairs of compatible sizes
     listed = buckets.where(F.col("members") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("doc_id", "n"))).alias("v"))
     pairs = (
         listed.select(
@@ -248,36 +239,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, bands: int
         .where("src != dst")
         .distinct()
     )
-    margin = threshold / 100 - 5 * math.sqrt(threshold / 100 * (1 - threshold / 100) / (bands * rows))
-
-    @F.pandas_udf("boolean")
-    def near(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
-        if not len(a):
-            return pd.Series([], dtype=bool)
-        x = np.frombuffer(b"".join(a), np.uint32).reshape(len(a), -1)
-        y = np.frombuffer(b"".join(b), np.uint32).reshape(len(b), -1)
-        few = np.minimum(na, nb) < 4 * bands * rows  # registers of small sets depend on each other; those go on to the sets
-        return pd.Series((estimate(x, y) >= margin) | few.to_numpy())
-
-    regs = rep_rows.select("doc_id", "regs", "n").dropDuplicates(["doc_id"])
-    screened = (
-        pairs.join(regs.select(F.col("doc_id").alias("src"), F.col("regs").alias("ra"), F.col("n").alias("na")), "src")
-        .join(regs.select(F.col("doc_id").alias("dst"), F.col("regs").alias("rb"), F.col("n").alias("nb")), "dst")
-        .where(near("ra", "rb", "na", "nb"))
-        .select("src", "dst")
-    )
-    screened = cut(screened)
     texts = docs.join(rep_ids, "doc_id", "left_semi")
-    with_text = screened.join(texts.select(F.col("doc_id").alias("src"), F.col("text").alias("text_a")), "src").join(
-        texts.select(F.col("doc_id").alias("dst"), F.col("text").alias("text_b")), "dst"
-    )
-    few_links = _confirm(with_text, k, threshold)
-
-    # large buckets: clusters, cut into blocks
-    large = buckets.where(F.col("members") > SMALL).select(F.col("doc_id").alias("src"), F.col("least").alias("dst"))
-    many_links = _links_of_clusters(large, rep_rows.select("doc_id", "n").dropDuplicates(["doc_id"]), texts, k, threshold)
-
-    links = cut(few_links.unionByName(many_links))
+    regs = rep_rows.select("doc_id", "regs", "n").dropDuplicates(["doc_id"])
+    confirm = lambda found: cut(_confirm(found, regs, texts, k, threshold, bands * rows))
+
+    # large buckets: hubs first, then the pairs of different components that could still be linked
+    large = buckets.where(F.col("members") > SMALL).select("key", "doc_id", "n")
+    large = cut(large.join(_alone(texts.join(large.select("doc_id").distinct(), "doc_id", "left_semi"), k), "doc_id", "left").withColumn("u", F.coalesce("u", F.lit(0))))
+    hubs = large.groupBy("key").agg(F.min(F.struct((F.col("u") / F.col("n")).alias("share"), F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"), F.col("u").alias("hub_u"))).alias("h")).select("key", "h.*")
+    spokes = large.join(hubs, "key").where("doc_id != hub").where(_possible("n", "u", "hub_n", "hub_u", threshold))
+    spokes = spokes.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_set(F.struct("share", "hub"))), 1, HUBS).alias("h"))  # at most one a band
+    spokes = spokes.select("doc_id", F.explode("h.hub").alias("hub")).select(F.least("doc_id", "hub").alias("src"), F.greatest("doc_id", "hub").alias("dst"))
+    near_links = confirm(pairs.unionByName(spokes).distinct())
+
+    labels = components(near_links)
+    large = large.join(labels, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "n", "u", F.coalesce("component", "doc_id").alias("label"))
+    main = large.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("m")).select("key", F.col("m.label").alias("main"))
+    # n shingles of which u stand alone can link only if u leaves enough of them
+    open_rows = large.join(main, "key").where(f"label != main and 100 * (n - u) >= {int(threshold)} * n").select("key", *(F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "u", "label")))
+    rest = open_rows.join(large.select("key", *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "u", "label"))), "key")
+    rest = rest.where((F.col("label_a") != F.col("label_b")) & _possible("n_a", "u_a", "n_b", "u_b", threshold))
+    rest = rest.select(F.least("doc_id_a", "doc_id_b").alias("src"), F.greatest("doc_id_a", "doc_id_b").alias("dst")).distinct()
+    far_links = confirm(rest)
+
+    links = near_links.unionByName(far_links)
     comp = components(links)
     found = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n", F.coalesce("component", "rep").alias("component_id"))
     empty = sk.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
@@ -289,43 +274,5 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, bands: int
     )
 
 
-def _links_of_clusters(edges: DataFrame, counts: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
-    schema = T.StructType([T.StructField("src", T.LongType()), T.StructField("dst", T.LongType())])
-    # linked sets differ in size by the threshold at most, so only blocks of the same or the next size class meet
-    step = math.log(100 / threshold)
-    cluster = cut(components(edges).join(counts, F.col("node") == F.col("doc_id")).select("doc_id", "component", F.floor(F.log(F.col("n").cast("double")) / step).cast("int").alias("class")))
-    blocks = cluster.groupBy("component", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    near = blocks.select("component", (F.col("class") + 1).alias("class"), F.col("blocks").alias("under"))
-    above = blocks.select("component", (F.col("class") - 1).alias("class"), F.col("blocks").alias("over"))
-    blocks = blocks.join(near, ["component", "class"], "left").join(above, ["component", "class"], "left").fillna(0, ["under", "over"])
-    placed = cluster.join(blocks, ["component", "class"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-
-    def others(size: str, shift: int) -> str:
-        return f"transform(filter(sequence(0, {size}), i -> i < {size}), i -> struct(class + {shift} as class, i as block))"
-
-    spread = placed.join(texts, "doc_id").select(
-        "component",
-        "doc_id",
-        "text",
-        F.expr("struct(class, own as block)").alias("own"),
-        F.explode(F.expr(f"concat({others('under', -1)}, {others('blocks', 0)}, {others('over', 1)})")).alias("other"),
-    )
-    spread = spread.select("component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "doc_id", "own", "text")
-    spread = spread.select("component", F.col("x.class").alias("xc"), F.col("x.block").alias("xb"), F.col("y.class").alias("yc"), F.col("y.block").alias("yb"), (F.col("own") == F.col("x")).alias("first"), "doc_id", "text")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("doc_id").sort_values("doc_id")
-        words = _Words()
-        sets = [shingle_set(t, k, words) for t in pdf["text"]]
-        own = pdf["first"].to_numpy()
-        # pairs inside a block belong to the task of that block with itself
-        alone = pdf["xc"].iloc[0] == pdf["yc"].iloc[0] and pdf["xb"].iloc[0] == pdf["yb"].iloc[0]
-        cross = None if alone else own[:, None] != own[None, :]
-        found = links_of_block(pdf["doc_id"].to_numpy(), sets, threshold, cross)
-        return pd.DataFrame(found, columns=["src", "dst"], dtype="int64")
-
-    return spread.groupBy("component", "xc", "xb", "yc", "yb").applyInPandas(run, schema)
-
-
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, threshold=85, bands=25, rows=5)

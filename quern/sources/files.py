@@ -14,7 +14,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> Data
 
 def read_jsonl_ordered(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """S1 with row_idx, the line's place in its file (blank lines do not count); files by their path."""
-    lines = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    lines = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     rows = lines.select("file", F.posexplode(F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "")).alias("row_idx", "line"))
     parsed = rows.select("file", F.col("row_idx").cast("long").alias("row_idx"), F.from_json("line", schema, {"mode": "FAILFAST"}).alias("o"))
     return parsed.select("file", "row_idx", "o.*")

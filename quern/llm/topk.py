@@ -96,8 +96,10 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     longest = float(top["m"] or 0.0)
     exact = float(top["c"] or 0.0) ** 2 * (top["d"] or 0) < 2**52
     picked = candidates.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()
-    p = np.array([r["v"] for r in picked], np.float64).reshape(len(picked), -1)
-    pivots = np.column_stack([p, np.sqrt(np.maximum(longest - (p * p).sum(axis=1), 0))]) if len(picked) else np.zeros((0, 1))
+    if not picked:
+        return candidates.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    p = np.array([r["v"] for r in picked], np.float64)
+    pivots = np.column_stack([p, np.sqrt(np.maximum(longest - (p * p).sum(axis=1), 0))])
     c = cut(_pack(candidates, pivots, longest)).select(*(F.col(x).alias(f"c_{x}") for x in ("ids", "x", "d")))
     q = cut(_pack(queries, pivots, None).repartition(F.xxhash64("ids"))).select(*(F.col(x).alias(f"q_{x}") for x in ("ids", "x", "d")))
 

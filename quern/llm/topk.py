@@ -100,8 +100,10 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
         return candidates.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     p = np.array([r["v"] for r in picked], np.float64)
     pivots = np.column_stack([p, np.sqrt(np.maximum(longest - (p * p).sum(axis=1), 0))])
-    c = cut(_pack(candidates, pivots, longest)).select(*(F.col(x).alias(f"c_{x}") for x in ("ids", "x", "d")))
-    q = cut(_pack(queries, pivots, None).repartition(F.xxhash64("ids"))).select(*(F.col(x).alias(f"q_{x}") for x in ("ids", "x", "d")))
+    # as few blocks as their size allows: the work is one row for each pair of blocks
+    blocks = lambda rows: rows.repartition(max(1, -(-rows.count() // BLOCK)))
+    c = cut(_pack(blocks(candidates), pivots, longest)).select(*(F.col(x).alias(f"c_{x}") for x in ("ids", "x", "d")))
+    q = cut(_pack(blocks(queries), pivots, None)).select(*(F.col(x).alias(f"q_{x}") for x in ("ids", "x", "d")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

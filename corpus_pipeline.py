@@ -15,13 +15,13 @@ from quern.llm.common import shared_dir, table
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any letter (and null texts) go: their language is undetermined."""
     net = language_id.fit(docs, ~language_id.held_out(F.col("doc_id"), 4, 2))
-    return language_id.predict(docs, net).where(F.col("lang_pred") != language_id.UNDETERMINED).select(*docs.columns)
+    return language_id.predict(docs, net, ("__language", "__share")).where(F.col("__language") != language_id.UNDETERMINED).select(*docs.columns)
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches 0.5 go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~language_id.held_out(F.col("doc_id"), 5, 0))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    return toxicity.score(docs, model, ("__score", "__toxic")).where("__toxic = 0").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,14 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; only where none is set (tests) a local one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        jsc = spark.sparkContext._jsc.sc()
-        if jsc.getCheckpointDir().isDefined():
-            return jsc.getCheckpointDir().get()
-        path = tempfile.mkdtemp(prefix="quern-checkpoint-")
-    spark.sparkContext.setCheckpointDir(path)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    context = spark.sparkContext._jsc.sc()
+    if not context.getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-checkpoint-"))
+    return context.getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -219,12 +219,15 @@ def fit(docs: DataFrame, allowed: Column) -> Network:
     return train([r["text"] for r in found], [r["lang"] for r in found])
 
 
-def predict(docs: DataFrame, net: Network) -> DataFrame:
-    """All columns of docs, then lang_pred and score. Null texts and texts without a letter get `und` and 0."""
+def predict(docs: DataFrame, net: Network, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of docs, then those of names: language and score. Null texts and texts without a letter get `und` and 0.
+
+    Columns of docs that have these names give way.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    columns = [c for c in docs.columns if c not in names]
     kept = docs.select(*columns, F.col("text").cast("string").alias("__text"))
-    schema = docs.select(*columns).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*columns).schema.add(names[0], "string").add(names[1], "double")
     where = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +244,7 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
                 pred = [net.languages[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)]
                 score = [float(min(1.0, share[i, b])) if k else 0.0 for i, (b, k) in enumerate(zip(best, known, strict=True))]
                 arrays = [part.column(i) for i in range(where)] + [pa.array(pred, pa.string()), pa.array(score, pa.float64())]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays(arrays, names=[*columns, *names])
 
     return kept.mapInArrow(run, schema)
 

@@ -211,11 +211,14 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column) -> Model:
     return Model(lexicon, w[: len(lexicon)], w[len(lexicon) :], b)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs, then score (0 to 1) and predicted (1 from 0.5 on). Null and empty texts are scored as texts without words."""
+def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """All columns of docs, then those of names: score (0 to 1) and label (1 from 0.5 on). Null and empty texts are scored as texts without words.
+
+    Columns of docs that have these names give way.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = [c for c in docs.columns if c not in ("score", "predicted")]
-    schema = docs.select(*columns).schema.add("score", "double").add("predicted", "integer")
+    columns = [c for c in docs.columns if c not in names]
+    schema = docs.select(*columns).schema.add(names[0], "double").add(names[1], "integer")
     where = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +231,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 raw = model.bias + float(model.weights[found].sum()) + float(model.extra @ extra)
                 out.append(float(1 / (1 + np.exp(-np.clip(raw, -60, 60)))))
             arrays = [batch.column(i) for i in range(where)] + [pa.array(out, pa.float64()), pa.array([int(s >= 0.5) for s in out], pa.int32())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays(arrays, names=[*columns, *names])
 
     return docs.select(*columns, F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
 

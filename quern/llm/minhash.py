@@ -8,7 +8,8 @@ count and mantissa bits (HyperMinHash). Bands of registers propose candidates.
 Hot groups: copies with equal sets collapse to one representative before banding. A band bucket of at
 most SMALL members proposes its pairs directly. Members of larger buckets are first held against a few
 hubs, those members of their buckets with the least share of shingles that nobody else in large buckets
-has; what links with a hub is in its component. After that only pairs of different components are left,
+has, then what stays outside a bucket's main component against the most alike of some of its members;
+what links with a hub is in its component. After that only pairs of different components are left,
 and of those only pairs whose shared shingles could reach the threshold at all: a set of n shingles of
 which u occur nowhere else shares at most n - u with any other. All proposed pairs are screened by the
 collision-corrected Jaccard estimate of the registers and confirmed on the full sets. No bucket is capped
@@ -34,6 +35,8 @@ from .common import components, cut, table
 SMALL = 24
 #: hubs that a member of large buckets is held against before the remaining pairs are sought
 HUBS = 3
+#: members of a bucket's main component that what is left outside is compared with
+SPREAD = 8
 MANTISSA = 26
 MAX_WORDS_CACHED = 1 << 19
 
@@ -252,19 +255,52 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, bands: int
     spokes = spokes.select("doc_id", F.explode("h.hub").alias("hub")).select(F.least("doc_id", "hub").alias("src"), F.greatest("doc_id", "hub").alias("dst"))
     near_links = confirm(pairs.unionByName(spokes).distinct())
 
-    labels = components(near_links)
-    large = large.join(labels, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "n", "u", F.coalesce("component", "doc_id").alias("label"))
-    main = large.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("m")).select("key", F.col("m.label").alias("main"))
-    # n shingles of which u stand alone can link only if u leaves enough of them
-    open_rows = large.join(main, "key").where(f"label != main and 100 * (n - u) >= {int(threshold)} * n").select("key", *(F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "u", "label")))
-    rest = open_rows.join(large.select("key", *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "u", "label"))), "key")
-    rest = rest.where((F.col("label_a") != F.col("label_b")) & _possible("n_a", "u_a", "n_b", "u_b", threshold))
+    def labelled(links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Component labels; the rows of large buckets with their label; those outside their bucket's main label that could link at all."""
+        labels = cut(components(links))
+        rows = large.join(labels, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "n", "u", F.coalesce("component", "doc_id").alias("label"))
+        main = rows.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("m")).select("key", F.col("m.label").alias("main"))
+        rows = cut(rows.join(main, "key"))
+        # n shingles of which u stand alone can link only if u leaves enough of them
+        return labels, rows, rows.where(f"label != main and 100 * (n - u) >= {int(threshold)} * n")
+
+    # what is left outside is held against the most alike of some members of its buckets' main components
+    _, rows_of, outside = labelled(near_links)
+    pick = F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))
+    some = rows_of.where("label = main").groupBy("key").agg(F.array_compact(F.array(*(F.min(F.when(pick == j, F.struct(F.xxhash64("doc_id", F.lit(1)).alias("order"), F.col("doc_id").alias("hub")))) for j in range(SPREAD)))).alias("hubs"))
+    tries = outside.join(some, "key").select("doc_id", F.explode("hubs").alias("h")).groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_set("h")), 1, 3 * SPREAD).alias("h"))  # at most SPREAD a band
+    tries = tries.select("doc_id", F.explode("h.hub").alias("hub"))
+
+    @F.pandas_udf(T.DoubleType())
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        if not len(a):
+            return pd.Series([], dtype=float)
+        return pd.Series(estimate(np.frombuffer(b"".join(a), np.uint32).reshape(len(a), -1), np.frombuffer(b"".join(b), np.uint32).reshape(len(b), -1)))
+
+    tries = tries.join(regs.select("doc_id", F.col("regs").alias("ra")), "doc_id").join(regs.select(F.col("doc_id").alias("hub"), F.col("regs").alias("rb")), "hub")
+    tries = tries.select("doc_id", "hub", (-alike("ra", "rb")).alias("far")).groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "hub"))), 1, HUBS).alias("h"))  # at most 3 * SPREAD
+    tries = tries.select("doc_id", F.explode("h.hub").alias("hub")).select(F.least("doc_id", "hub").alias("src"), F.greatest("doc_id", "hub").alias("dst"))
+    labels, rows_of, outside = labelled(near_links.unionByName(confirm(tries.distinct())))
+
+    # the pairs of different components that are still possible, each at the first band that both share
+    keys = large.groupBy("doc_id").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # at most one a band
+    side = lambda r, x: r.join(keys, "doc_id").select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "u", "label", "keys")))
+    rest = side(outside, "a").join(side(rows_of.select("key", "doc_id", "n", "u", "label"), "b"), "key")
+    rest = rest.where(
+        (F.col("label_a") != F.col("label_b")) & _possible("n_a", "u_a", "n_b", "u_b", threshold) & (F.col("key") == F.array_min(F.array_intersect("keys_a", "keys_b")))
+    )
     rest = rest.select(F.least("doc_id_a", "doc_id_b").alias("src"), F.greatest("doc_id_a", "doc_id_b").alias("dst")).distinct()
     far_links = confirm(rest)
 
-    links = near_links.unionByName(far_links)
-    comp = components(links)
-    found = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n", F.coalesce("component", "rep").alias("component_id"))
+    # the last links join whole components
+    joined = far_links.join(labels.select(F.col("node").alias("src"), F.col("component").alias("a")), "src", "left").join(labels.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst", "left")
+    last = components(joined.select(F.coalesce("a", "src").alias("src"), F.coalesce("b", "dst").alias("dst"))).select(F.col("node").alias("label"), F.col("component").alias("last"))
+    found = (
+        members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+        .withColumn("label", F.coalesce("component", "rep"))
+        .join(last, "label", "left")
+        .select("doc_id", "n", F.coalesce("last", "label").alias("component_id"))
+    )
     empty = sk.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return (
         found.unionByName(empty)

@@ -31,7 +31,8 @@ HIDDEN = frozenset("script style noscript template iframe object svg math canvas
 RAW = frozenset("script style noscript template iframe textarea title svg math".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_attribute = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S | re.I)
+#: one attribute: its name, then its value in double, single or no quotes
+_attribute = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
 _name = re.compile(r"[a-z]+")
 #: what class names and ids of surrounding matter are made of
 HINTS = {
@@ -138,10 +139,10 @@ def _marks(tag: str, attributes: str) -> tuple[str, ...]:
         value, name = (a or b or c).lower(), name.lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
             marks.append("hidden")
-            continue
-        for word in _name.findall(value):
-            if word in _hint:
-                marks.append(f"hint:{_hint[word]}")
+        elif name in ("class", "id", "role"):
+            for word in _name.findall(value):
+                if word in _hint:
+                    marks.append(f"hint:{_hint[word]}")
     return tuple(dict.fromkeys(marks))
 
 

@@ -199,6 +199,15 @@ def test_html(spark):
     assert html_text.extract_text(empty(rows)).count() == 0
 
 
+def test_hidden_is_an_attribute_name():
+    for attribute in ('style="overflow:hidden"', 'href="/hidden-gems"', "title='the hidden valley'", 'data-hidden="false"', "href=/a/hidden", 'data-x = "a=b hidden"', 'aria-hidden="false"', 'data-aria-hidden="true"'):
+        assert [b.text for b in html_text.blocks(f"<p {attribute}>One <a {attribute}>two</a> three.</p>")] == ["One two three."], attribute
+    for attribute in ("hidden", 'class="x" hidden', 'hidden=""', "HIDDEN id=a", 'title="a"hidden', 'aria-hidden="true"', "aria-hidden = TRUE"):
+        assert html_text.blocks(f"<p {attribute}>One</p>") == [], attribute
+    page = "<body><nav><a href=x>Menu</a></nav><article style='overflow:hidden'><h1>Title</h1><p title='the hidden valley'>One is here. Two is there.</p></article><footer>&copy; me</footer>"
+    assert html_text.extract(page, html_text.default_chain()) == "Title\nOne is here. Two is there."
+
+
 def test_viterbi():
     import itertools
 

@@ -1,8 +1,9 @@
 """Licence scans: normalised text against licence templates by Dice coefficient over word bigrams.
 
-A text is looked at in passages: runs of lines that share word pairs with a template (a run may bridge one
-line that doesn't). A passage of m distinct word pairs can reach coefficient t only with a template of
-m * t / (2 - t) to m * (2 - t) / t pairs, so other templates are never compared.
+A text is looked at in passages: for each template all runs of words, wherever lines end, that start and
+end with a word pair of the template (other ends only lower the coefficient). A passage of m distinct word
+pairs can reach coefficient t only with a template of m * t / (2 - t) to m * (2 - t) / t pairs, so longer
+passages and templates with too few pairs in the text are never compared.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -63,11 +65,13 @@ class Scanner:
     names: list = field(init=False)
     sets: list = field(init=False)
     sizes: list = field(init=False)
+    within: dict = field(init=False)
 
     def __post_init__(self) -> None:
         made = sorted(((len(b), name, b) for name, text in self.templates.items() if (b := bigrams(text))), key=lambda x: x[:2])
         self.sizes, self.names, self.sets = [m[0] for m in made], [m[1] for m in made], [m[2] for m in made]
         self.pairs = set().union(*self.sets) if self.sets else set()
+        self.within = {pair: [k for k, b in enumerate(self.sets) if pair in b] for pair in self.pairs}
 
     def passage(self, found: set) -> tuple[float, str] | None:
         """The best template of a passage's word pairs; ties to the name."""
@@ -81,30 +85,37 @@ class Scanner:
         return best
 
     def scan(self, text: str) -> list[tuple[int, int, str, float]]:
-        """Passages (first line, last line, template, coefficient), best first where they overlap."""
-        words = [_words(line) for line in text.lower().split("\n")]
-        runs: list[list[int]] = []
-        for i, w in enumerate(words):
-            if len(w) > 1 and not self.pairs.isdisjoint(zip(w, w[1:])):
-                if runs and i - runs[-1][-1] <= 2:
-                    runs[-1].append(i)
-                else:
-                    runs.append([i])
-        longest = self.sizes[-1] * (2 - self.threshold) / self.threshold if self.sizes else 0
+        """Passages (first word, last word, template, coefficient), best first where they overlap; ties to the longer template."""
+        t, words = self.threshold, _words(text.lower())
+        counts: dict[int, int] = {}
+        for pair in self.pairs.intersection(zip(words, words[1:])):
+            for k in self.within[pair]:
+                counts[k] = counts.get(k, 0) + 1
+        # a template of n pairs needs n * t / (2 - t) of them in a passage
+        possible = {k for k, n in counts.items() if n >= self.sizes[k] * t / (2 - t) - 1e-9}
+        if not possible:
+            return []
+        starts = {pair: ks for pair, within in self.within.items() if (ks := [k for k in within if k in possible])}
         found = []
-        for run in runs:
-            for a, start in enumerate(run):
-                for stop in run[a:]:
-                    joined = [w for line in words[start : stop + 1] for w in line]
-                    pairs = set(zip(joined, joined[1:]))
-                    if len(pairs) > longest:
-                        break
-                    best = self.passage(pairs)
-                    if best:
-                        found.append((-best[0], start, stop, best[1]))
+        # where each pair stands next; read backwards, the pairs in the order of a passage that starts here
+        ahead: dict[tuple[str, str], int] = {}
+        for i in range(len(words) - 2, -1, -1):
+            here = (words[i], words[i + 1])
+            ahead.pop(here, None)
+            ahead[here] = i
+            for k in starts.get(here, ()):
+                template, size, common = self.sets[k], self.sizes[k], 0
+                for m, pair in enumerate(islice(reversed(ahead), int(size * (2 - t) / t + 1e-9)), 1):
+                    if pair in template:
+                        common += 1
+                        dice = 2 * common / (m + size)
+                        if dice >= t - 1e-12:
+                            found.append((-dice, -size, i, ahead[pair] + 1, self.names[k]))
         out: list[tuple[int, int, str, float]] = []
-        for dice, start, stop, name in sorted(found):
-            if all(stop < o[0] or start > o[1] for o in out):
+        taken = bytearray(len(words))
+        for dice, _, start, stop, name in sorted(found):
+            if taken.find(1, start, stop + 1) < 0:
+                taken[start : stop + 1] = b"\1" * (stop + 1 - start)
                 out.append((start, stop, name, -dice))
         return sorted(out)
 

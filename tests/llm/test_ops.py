@@ -158,6 +158,32 @@ def test_licences(spark, awkward):
     assert licences.scan_licences(empty(awkward)).count() == 0
 
 
+def test_licences_within_a_line():
+    s = licences.Scanner(licences.TEMPLATES)
+    for text in ("Copyright 2020 Acme Inc. {}", "One sentence before. Copyright 2020 Acme Inc. {} And one after it.", "word " * 3000 + "{}" + " more" * 3000):
+        for name, template in licences.TEMPLATES.items():
+            assert (name, 1.0) in [(f[2], f[3]) for f in s.scan(text.format(template))], (name, text[:30])
+    assert [f[2] for f in s.scan("All rights reserved. " * 5000)] == ["Proprietary"] * 5000
+    s = licences.Scanner({"x": "a b c d e", "y": "b c b a", "z": "d d a b c a e"}, 0.7)
+    rng = random.Random(15)
+    for _ in range(400):
+        words = [rng.choice("abcdef") for _ in range(rng.randint(0, 25))]
+        pairs = list(zip(words, words[1:]))
+        found = []
+        for i in range(len(pairs)):
+            for j in range(i, len(pairs)):
+                m = set(pairs[i : j + 1])
+                for name, b in zip(s.names, s.sets, strict=True):
+                    dice = 2 * len(m & b) / (len(m) + len(b))
+                    if pairs[i] in b and pairs[j] in b and dice >= 0.7 - 1e-12:
+                        found.append((-dice, -len(b), i, j + 1, name))
+        want = []
+        for dice, _, i, j, name in sorted(found):
+            if all(j < w[0] or i > w[1] for w in want):
+                want.append((i, j, name, -dice))
+        assert s.scan("\n".join(words)) == s.scan(" ".join(words)) == sorted(want)
+
+
 # 6
 def test_label_model():
     rng = np.random.default_rng(7)

@@ -1,10 +1,13 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame functions only.
 
-Words are the runs of letters and digits of the lower-cased text. A seed is the hash of the words at the
+Words are the runs of letters and digits of the lower-cased text; in scripts that write without spaces each
+letter is a word. A seed is the hash of the words at the
 positions that a fixed mask keeps; the words between them may differ. Test seeds and document seeds are
 joined, and around each hit the words are compared position by position: an overlap is a window of
 WINDOW aligned words of which at least NEED agree. The masks are chosen so that every window with up to
 WINDOW - NEED substituted words holds a seed whose kept positions all agree, so no overlap is missed.
+Items of fewer than SPAN words hold no seed: the hash of all their words is joined with those of the document's
+runs of as many words.
 """
 
 from __future__ import annotations
@@ -23,10 +26,15 @@ SPAN, WINDOW, NEED = 9, 13, 11
 BEFORE, AFTER = WINDOW - SPAN, WINDOW - 1
 #: test seeds up to which they are sent to every executor (about 200 bytes each); beyond it both sides are shuffled
 BROADCAST_SEEDS = 200_000
+#: letters of scripts that write without spaces: Thai, Lao, Tibetan, Burmese, Khmer, kana, Bopomofo, Yi, Han
+UNSPACED = r"[\u0E00-\u0FFF\u1000-\u109F\u1780-\u17FF\u2E80-\u312F\u31A0-\u31FF\u3400-\u4DBF\u4E00-\uA4CF\uF900-\uFAFF\uFF66-\uFF9F\x{20000}-\x{3FFFF}]"
 
 
 def _words(text: Column) -> Column:
-    words = F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    # one range decides fast that a text has none of them
+    spaced = F.when(text.rlike(r"[\u0E00-\x{3FFFF}]"), F.regexp_replace(text, UNSPACED, " $0 ")).otherwise(text)
+    words = F.filter(F.split(F.lower(spaced), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
@@ -36,13 +44,14 @@ def _seed(mask: int, words: Column, at: Column) -> Column:
 
 def _positions(df: DataFrame) -> DataFrame:
     """A row for each position at which a mask fits."""
-    return df.where(F.size("h") >= SPAN).withColumn("at", F.explode(F.expr(f"sequence(0, size(h) - {SPAN})")))
+    # a condition on h before the rows are made would be moved down and compute the words twice
+    return df.withColumn("at", F.explode_outer(F.expr(f"if(size(h) >= {SPAN}, sequence(0, size(h) - {SPAN}), null)"))).where("at is not null")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, matched: the most agreeing words of a window, for each document and item that overlap.
 
-    Items of fewer than SPAN words match nothing; items of fewer than NEED words must agree in full.
+    Items of fewer than NEED words must agree in full.
     Null and empty texts match nothing. Rows that repeat an id count as one text set of that id.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _words(F.col("text")).alias("h"))
@@ -66,12 +75,31 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     equal = [F.coalesce((F.get("h", F.col("at") + (j - BEFORE)) == F.get("around", F.lit(j))).cast("int"), F.lit(0)) * (1 << j) for j in range(BEFORE + AFTER + 1)]
     hits = hits.select("doc_id", "item_id", "need", reduce(add, equal).alias("bits"))
     windows = [F.bit_count(F.shiftright("bits", s).bitwiseAND(F.lit((1 << WINDOW) - 1))) for s in range(BEFORE + 1)]
-    return (
-        hits.select("doc_id", "item_id", "need", F.greatest(*windows).cast("long").alias("matched"))
-        .where("matched >= need")
-        .groupBy("doc_id", "item_id")
-        .agg(F.max("matched").alias("matched"))
-    )
+    found = hits.select("doc_id", "item_id", "need", F.greatest(*windows).cast("long").alias("matched")).where("matched >= need").select("doc_id", "item_id", "matched")
+    short = _short_overlaps(docs, items)
+    if short is not None:
+        found = found.unionByName(short)
+    return found.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"))
+
+
+def _runs(n: int) -> Column:
+    """The hashes of all runs of n words."""
+    runs = F.transform(F.sequence(F.lit(1), F.size("h") - (n - 1)), lambda at: F.xxhash64(F.lit(n), F.slice("h", at, n)))
+    return F.when(F.size("h") >= n, runs).otherwise(F.array().cast("array<bigint>"))
+
+
+def _short_overlaps(docs: DataFrame, items: DataFrame) -> DataFrame | None:
+    """doc_id, item_id, matched of the items below SPAN words that stand in a document as a whole; None without such items."""
+    items = items.where(F.size("h").between(1, SPAN - 1))
+    lengths = {r["n"]: r["count"] for r in items.groupBy(F.size("h").alias("n")).count().collect()}
+    if not lengths:
+        return None
+    items = items.select("item_id", F.size("h").cast("long").alias("matched"), F.xxhash64(F.size("h"), "h").alias("run")).distinct()
+    runs = F.concat(*(_runs(n) for n in sorted(lengths)))
+    here = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _words(F.col("text")).alias("h"))
+    here = here.select("doc_id", F.explode(F.array_distinct(runs)).alias("run"))
+    small = sum(lengths.values()) <= BROADCAST_SEEDS
+    return here.join(F.broadcast(items) if small else items, "run").select("doc_id", "item_id", "matched")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

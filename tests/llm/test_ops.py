@@ -290,6 +290,27 @@ def test_decontamination(spark, awkward, monkeypatch):
     assert not any(r["contaminated"] for r in decontaminate.decontaminate(df, empty(bench)).collect())
 
 
+@pytest.mark.parametrize("broadcast", [0, 200_000])
+def test_decontamination_of_short_items(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", broadcast)
+    docs = [
+        (1, "I asked: what is the CAPITAL of France? Paris."),
+        (2, "what is the capital of all France"),
+        (3, "请问中国的首都是哪里？北京。"),
+        (4, "中国的首都在哪里"),
+        (5, "capital of"),
+        (6, "Yes"),
+        (7, "a b c d e f g h i 今天我们一起去公园里玩得很开心 z"),
+        (8, None),
+        (9, "x " * 500 + "one two three four five six seven eight"),
+        (10, "ราคาเท่าไหร่ครับ"),
+    ]
+    items = [(1, "What is the capital of France?"), (2, "中国的首都是哪里?"), (3, "yes"), (4, "one two three four five six seven eight"), (5, ""), (6, None), (7, "今天我们一起去公园里玩得很开心"), (1, "Capital, of!"), (8, "ราคาเท่าไหร่")]
+    got = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = {(1, 1, 6), (2, 1, 2), (5, 1, 2), (3, 2, 8), (6, 3, 1), (9, 4, 8), (7, 7, 13), (10, 8, 10)}
+    assert {tuple(r) for r in got.collect()} == want
+
+
 # 10
 def shingles(text, k):
     w = (text or "").encode().lower().split()

@@ -13,9 +13,16 @@ from quern.llm.common import shared_dir, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any letter (and null texts) go: their language is undetermined."""
-    net = language_id.fit(docs, ~language_id.held_out(F.col("doc_id"), 4, 2))
-    return language_id.predict(docs, net, ("__language", "__share")).where(F.col("__language") != language_id.UNDETERMINED).select(*docs.columns)
+    """Documents without any letter (and null texts) go, and those that the network finds in no learned language.
+
+    The latter are those whose share of undetermined positions reaches the network's cutoff, calibrated on labelled rows.
+    Where no language could be learned, only the letters count.
+    """
+    net, cutoff = language_id.fit_with_noise(docs, ~language_id.held_out(F.col("doc_id"), 4, 2))
+    if not net.languages:
+        return docs.where(language_id.has_letter(F.col("text").cast("string")))
+    undetermined = (F.col("__language") == language_id.UNDETERMINED) & ((F.col("__share") == 0) | (F.col("__share") >= cutoff))
+    return language_id.predict(docs, net, ("__language", "__share")).where(~undetermined).select(*docs.columns)
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

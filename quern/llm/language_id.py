@@ -8,6 +8,7 @@ of labelled texts; scoring is one pass over the table without a shuffle.
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,6 +26,8 @@ SEGMENT, TOGETHER = 128, 4096
 #: labelled texts of each language that training looks at, languages at most, and characters of each text
 TEXTS_PER_LANGUAGE, MAX_LANGUAGES, CHARACTERS = 400, 200, 480
 UNDETERMINED = "und"
+#: letters of Greek, Cyrillic, Hebrew, Arabic, Devanagari, Thai, kana, Han, Hangul
+SCRIPTS = ((0x3B1, 0x3C9), (0x410, 0x44F), (0x5D0, 0x5EA), (0x620, 0x64A), (0x905, 0x939), (0xE01, 0xE30), (0x3041, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
 _letter = re.compile(r"[^\W\d_]").search
 
 
@@ -207,8 +210,8 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("long").cast("string").cast("binary")), F.lit(modulus)) == remainder
 
 
-def fit(docs: DataFrame, allowed: Column) -> Network:
-    """Trains on at most TEXTS_PER_LANGUAGE texts of each language among the allowed rows with a language and a text."""
+def sample(docs: DataFrame, allowed: Column) -> list[tuple[str, str]]:
+    """Text and language of at most TEXTS_PER_LANGUAGE texts of each language among the allowed rows with a language and a text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
@@ -216,7 +219,52 @@ def fit(docs: DataFrame, allowed: Column) -> Network:
     span = F.substring("text", F.lit(1) + F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - CHARACTERS, F.lit(1))).cast("int"), F.lit(CHARACTERS))
     rows = rows.withColumn("text", span).withColumn("k", F.row_number().over(order)).where(f"k <= {TEXTS_PER_LANGUAGE}")
     found = rows.orderBy("lang", "k").limit(TEXTS_PER_LANGUAGE * MAX_LANGUAGES).collect()
-    return train([r["text"] for r in found], [r["lang"] for r in found])
+    return [(r["text"], r["lang"]) for r in found]
+
+
+def fit(docs: DataFrame, allowed: Column) -> Network:
+    """Trains on a sample of the allowed rows."""
+    found = sample(docs, allowed)
+    return train([t for t, _ in found], [g for _, g in found])
+
+
+def noise_texts(used: set[str], count: int = TEXTS_PER_LANGUAGE, seed: int = 17) -> list[str]:
+    """Texts of no language: random letters, codes, digits and signs with few letters, and words of scripts without a used character."""
+    r = random.Random(seed)
+    scripts = [s for s in SCRIPTS if not any(s[0] <= ord(c) <= s[1] for c in used)]
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    signs = "0123456789" * 3 + "!#$%&*+-/<=>?@|~.,:;"
+    out = []
+    for k in range(count):
+        if k % 2 and scripts:
+            first, last = scripts[k // 2 % len(scripts)]
+            letter = lambda: chr(r.randint(first, last))  # noqa: E731, B023
+        else:
+            letters = (alphabet, alphabet + alphabet.upper() + "0123456789+/", signs * 4 + r.choice(alphabet))[k // 2 % 3]
+            letter = lambda: r.choice(letters)  # noqa: E731, B023
+        out.append(" ".join("".join(letter() for _ in range(r.randint(1, 12))) for _ in range(r.randint(20, 60))))
+    return out
+
+
+def fit_with_noise(docs: DataFrame, allowed: Column) -> tuple[Network, float]:
+    """A network that also knows UNDETERMINED, from noise_texts, and the share of it from which a text is of no learned language.
+
+    That share lies midway between 1 and the highest of the labelled sample. Without labelled rows there are no languages.
+    """
+    found = sample(docs, allowed)
+    if not found:
+        return train([], []), 1.0
+    noise = noise_texts(set().union(*(t for t, _ in found)))
+    net = train([t for t, _ in found] + noise, [g for _, g in found] + [UNDETERMINED] * len(noise))
+    sums = position_sums(net, [t.encode("utf-8", "replace") for t, g in found if g != UNDETERMINED])
+    shares = sums[:, net.languages.index(UNDETERMINED)] / np.maximum(sums.sum(axis=1), 1e-9)
+    return net, float(1 + shares.max(initial=0.0)) / 2
+
+
+def has_letter(text: Column) -> Column:
+    return F.udf(lambda t: t is not None and _letter(t) is not None, "boolean")(text)
+
+
 
 
 def predict(docs: DataFrame, net: Network, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -40,3 +40,25 @@ def test_stages_on_nothing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
+
+
+def test_language_stage(spark, sf_dir):
+    import random
+
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rng = random.Random(3)
+    odd = [
+        (10**6, "Съешь же ещё этих мягких французских булок, да выпей чаю. " * 4),
+        (10**6 + 1, "我们今天去公园玩,天气很好。" * 10),
+        (10**6 + 2, " ".join(str(rng.randrange(10**6)) for _ in range(80)) + " a"),
+        (10**6 + 3, "1 2 3"),
+    ]
+    more = spark.createDataFrame(odd, "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs.unionByName(more, allowMissingColumns=True), sf_dir).collect()}
+    assert kept == {r["doc_id"] for r in docs.collect()}
+    unlabelled = docs.unionByName(more, allowMissingColumns=True).withColumn("lang", F.lit(None).cast("string"))
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, unlabelled, sf_dir).collect()}
+    assert kept == {r["doc_id"] for r in docs.collect()} | {10**6, 10**6 + 1, 10**6 + 2}

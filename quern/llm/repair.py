@@ -46,7 +46,8 @@ class ByteBpe:
     """Encodes as the tokenizers library does with a byte-level BPE file, with the library's model called once for each distinct word.
 
     A text is cut before each single space between two characters that are not white space: there the
-    pre-tokenizer always starts a new word, whatever stands around.
+    pre-tokenizer always starts a new word, whatever stands around. The file's added tokens are cut out before,
+    those that the library seeks in the text as it stands first.
     """
 
     def __init__(self, text: str):
@@ -55,7 +56,12 @@ class ByteBpe:
         if spec.get("normalizer") or pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or pre.get("add_prefix_space"):
             raise ValueError("only byte-level BPE without normaliser and prefix space is supported")
         self.tokenizer = Tokenizer.from_str(text)
-        self.tokenizer.encode_special_tokens = True
+        added = [a for a in spec.get("added_tokens") or [] if a["content"]]
+        if any(a.get(flag) for a in added for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that depend on the text around them are not supported")
+        self.added = {a["content"]: struct.pack("<I", a["id"]) for a in added}
+        groups = [sorted((a["content"] for a in added if a.get("normalized", True) == late), key=len, reverse=True) for late in (False, True)]
+        self.cuts = [regex.compile(f"({'|'.join(map(regex.escape, g))})").split for g in groups if g]
         self.model = self.tokenizer.model
         # the byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from 256 in order
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -83,6 +89,17 @@ class ByteBpe:
         return ids
 
     def encode(self, text: str) -> bytes:
+        for token in self.added:
+            if token in text:
+                return self._around(text, 0)
+        return self._between(text)
+
+    def _around(self, text: str, k: int) -> bytes:
+        if k == len(self.cuts):
+            return self._between(text)
+        return b"".join([self.added[part] if i % 2 else self._around(part, k + 1) for i, part in enumerate(self.cuts[k](text))])
+
+    def _between(self, text: str) -> bytes:
         if not text:
             return b""
         plain, spaced = self.plain, self.spaced.__getitem__

@@ -86,6 +86,27 @@ def test_repair_files(spark, awkward, tmp_path):
     assert repair.read_shards(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_added_tokens(spark, tmp_path):
+    from tokenizers import AddedToken, Tokenizer
+
+    path = tok.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    own = repair.ByteBpe(open(path, encoding="utf-8").read())
+    want = lambda t: lib.encode(t, add_special_tokens=False).ids
+    assert np.frombuffer(own.encode("a <|endoftext|> b"), "<u4").tolist() == want("a <|endoftext|> b") == [64, 220, 50256, 275]
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>" * 3), (3, "x\n<|endoftext|>\n y")]
+    repair.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), path, str(tmp_path / "ids"))
+    got = sorted(repair.read_shards(spark, str(tmp_path / "ids"), with_ids=True).collect(), key=lambda r: r["doc_id"])
+    assert [bytes(r["ids"]) for r in got] == [struct.pack(f"<{len(ids)}I", *ids) for _, t in rows for ids in [[*want(t), 2]]]
+    rng = random.Random(16)
+    parts = ["<|endoftext|>", "<|endoftext", "|>", "<|", " ", "  ", "\n", "a", "é", "'s", "[x]", "[x][y]", "[y]"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(1500)]
+    assert all(np.frombuffer(own.encode(t), "<u4").tolist() == want(t) for t in texts)
+    lib.add_tokens([AddedToken("[x]", normalized=False), AddedToken("[x][y]", normalized=False), AddedToken("][", normalized=True)])
+    own = repair.ByteBpe(lib.to_str())
+    assert all(np.frombuffer(own.encode(t), "<u4").tolist() == want(t) for t in texts)
+
+
 # 3
 def test_language_gradients():
     net = language_id.train(["abc", "xyz"], ["a", "x"], hidden=4, steps=3)

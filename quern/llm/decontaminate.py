@@ -75,7 +75,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     equal = [F.coalesce((F.get("h", F.col("at") + (j - BEFORE)) == F.get("around", F.lit(j))).cast("int"), F.lit(0)) * (1 << j) for j in range(BEFORE + AFTER + 1)]
     hits = hits.select("doc_id", "item_id", "need", reduce(add, equal).alias("bits"))
     windows = [F.bit_count(F.shiftright("bits", s).bitwiseAND(F.lit((1 << WINDOW) - 1))) for s in range(BEFORE + 1)]
-    found = hits.select("doc_id", "item_id", "need", F.greatest(*windows).cast("long").alias("matched")).where("matched >= need").select("doc_id", "item_id", "matched")
+    # the comparison is asked of the groups: asked of the rows it would move into the join's condition, whose code is then too long to be compiled
+    found = hits.groupBy("doc_id", "item_id", "need").agg(F.max(F.greatest(*windows)).cast("long").alias("matched"))
+    found = found.where("matched >= need").select("doc_id", "item_id", "matched")
     short = _short_overlaps(docs, items)
     if short is not None:
         found = found.unionByName(short)

@@ -311,6 +311,17 @@ def test_decontamination(spark, awkward, monkeypatch):
     assert not any(r["contaminated"] for r in decontaminate.decontaminate(df, empty(bench)).collect())
 
 
+def test_decontamination_plan(spark, awkward):
+    """The words are computed once, and the comparison of words is not a condition of the join."""
+    bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(30)))], "item_id long, text string")
+    clash = awkward.select("*", F.lit("x").alias("item_id"), F.lit(0).alias("h"), F.lit(0).alias("seed"), F.lit(1).alias("at"), F.lit("y").alias("matched"))
+    found = decontaminate.decontaminate(clash, bench.withColumn("need", F.lit(0)).withColumn("around", F.lit("z")))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    assert not any("bit_count" in line for line in plan.splitlines() if "Join" in line)
+    assert sorted(r["doc_id"] for r in found.collect()) == [i for i, _ in AWKWARD]
+
+
 @pytest.mark.parametrize("broadcast", [0, 200_000])
 def test_decontamination_of_short_items(spark, monkeypatch, broadcast):
     monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", broadcast)

@@ -2,28 +2,75 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: keys that a join may send to every executor, and rows of ids (one or two integers each)
+HOT_KEYS, SALTS, BROADCAST_IDS = 1000, 64, 1 << 18
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where none is set (tests) a local one."""
+    """The folder that driver and executors share. Where none is set, a local one, but on a local master alone."""
     context = spark.sparkContext._jsc.sc()
     if not context.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="quern-checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
     return context.getCheckpointDir().get()
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    atexit.register(_delete, there.getFileSystem(spark._jsc.hadoopConfiguration()), there)
+    return path
+
+
+def _delete(store, path) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have ended before
+        store.delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Cuts the lineage with a table in the shared folder."""
+    spark = df.sparkSession
+    path = shared_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread_join(rows: DataFrame, found: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join of rows with found, which has each key once and in `weight` how many of the `total` rows have it.
+
+    The rows of keys with more than total / HOT_KEYS rows, of which there are fewer than HOT_KEYS, are dealt
+    out over SALTS parts, to each of which goes a copy of the key's row of found.
+    """
+    hot = F.col(weight) > total / HOT_KEYS
+    heavy = found.where(hot)
+    marked = rows.join(F.broadcast(heavy.select(*on, F.lit(1).alias("__hot"))), on, "left")
+    salted = marked.withColumn("__salt", F.when(F.col("__hot") == 1, F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
+    salts = F.sequence(F.lit(0).cast("long"), F.when(hot, F.lit(SALTS - 1)).otherwise(F.lit(0)).cast("long"))
+    return salted.join(found.withColumn("__salt", F.explode(salts)), [*on, "__salt"]).drop("__salt", "__hot")
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, how: str, on: list[str] | None = None) -> DataFrame:
+    """Join of rows with ids (a narrow table that has each key once), which is broadcast if it has at most BROADCAST_IDS rows."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, on or ids.columns, how)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -33,7 +80,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     an edge. Each step is one shuffle by node with partial aggregation of the minimum; the number of
     steps grows with the logarithm of the longest path. An empty graph gives no rows.
     """
-    e = cut(edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src != dst").distinct())
+    e = cut(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src != dst").distinct())
     before = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))

@@ -16,7 +16,6 @@ import functools
 import hashlib
 import json
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import shared_dir, table
+from .common import shared_path, table
 
 MAGIC = b"RPG1"
 FIELDS = ("doc_id", "symbols_at", "ids_at", "left", "right", "length", "symbols")
@@ -400,6 +399,6 @@ def read_shards(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = f"{shared_dir(spark)}/repair-{uuid.uuid4().hex}"
+    path = shared_path(spark, "repair")
     write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
     return read_shards(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")

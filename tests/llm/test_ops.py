@@ -385,6 +385,39 @@ def test_near_duplicates(spark, k, threshold, bands, rows):
     assert minhash.near_duplicates(empty(df), k, threshold, bands, rows).count() == 0
 
 
+def test_near_duplicates_of_a_hot_group(spark, monkeypatch):
+    """Two bases at 0.83, near copies around the threshold whose edits coincide, a base repeated as a third of the rows."""
+    rng = random.Random(21)
+    one = [f"v{rng.randrange(500)}" for _ in range(140)]
+    two = one[:122] + [f"w{j}" for j in range(18)]
+    docs = []
+    for i in range(500):
+        copy = (one if i % 3 else two)[:]
+        for _ in range(rng.randint(1, 8)):
+            at = rng.randrange(len(copy))
+            copy[at] = rng.choice([f"e{rng.randrange(10**6)}", f"f{at}", f"g{at % 9}"])
+        docs.append((1000 + 7 * i, " ".join(copy)))
+    docs += [(i, " ".join(two)) for i in range(250)]
+    docs += [(20_000 + i, " ".join(f"p{rng.randrange(10**6)}" for _ in range(100)) + " " + " ".join(one[:20])) for i in range(60)]
+    want = brute(docs, 3, 85)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for small, rare in ((24, 16), (2, 3), (10**6, 16)):
+        monkeypatch.setattr(minhash, "SMALL", small)
+        monkeypatch.setattr(minhash, "RARE", rare)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df, 3, 85, 25, 5).collect()}
+        assert got == want, (small, rare)
+
+
+def test_near_duplicates_of_odd_ids(spark):
+    long = " ".join(f"a{i}" for i in range(40))
+    rows = [(1, long), (1, long), (2, "b c d"), (2, long), (3, "b c d"), (None, long), (None, None), (4, None), (4, "  "), (5, "x"), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit("k").alias("key"), F.lit(1).alias("tag"))
+    got = sorted(minhash.near_duplicates(df, 5, 80).collect(), key=str)
+    # the longer text stands for document 2
+    want = [(1, 36, 1, True), (2, 36, 1, False), (3, 1, 3, True), (4, 0, 4, True), (5, 1, 5, True), (None, 36, None, True), (None, 0, None, True)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_estimate():
     rng = np.random.default_rng(13)
     pool = rng.integers(0, 2**63, 3000, dtype=np.uint64)

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, language_id, minhash, sentencepiece_bpe, toxicity
-from quern.llm.common import shared_dir, table
+from quern.llm.common import by_ids, shared_path, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,15 +30,22 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, Jaccard similarity of 0.8 or more) the smallest doc_id stays, once."""
-    kept = minhash.near_duplicates(docs, k=5, threshold=80, bands=31, rows=4).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Of each group of near duplicates (five-word shingles, Jaccard similarity of 0.8 or more) the smallest doc_id stays.
+
+    Rows alike in doc_id and text are copies of each other, of which one stays; rows of one doc_id with different texts
+    share its fate. Rows without a doc_id, and null, empty or blank texts, are near nothing.
+    """
+    gone = minhash.near_duplicates(docs, k=5, threshold=80, bands=31, rows=4).where("not kept").select("doc_id")
+    left = by_ids(docs, gone, "left_anti")
+    if docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
+        return left
+    return left.withColumn("__text", F.sha2("text", 256)).dropDuplicates(["doc_id", "__text"]).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap a benchmark item go."""
+    """Documents that overlap a benchmark item go; null and empty texts overlap nothing, rows of one doc_id share its fate."""
     leaks = decontaminate.overlaps(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    return by_ids(docs, leaks, "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +74,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over `documents`, each written to the shared folder and read again."""
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = shared_path(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)

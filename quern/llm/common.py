@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -53,6 +57,34 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for mapInArrow that hands its worker's free memory back to the system at the end of a task."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
+def first_by_hash(rows: DataFrame, group: str, limits: DataFrame, limit: str, key: str = "doc_id") -> DataFrame:
+    """Of each group that limits (group, limit, and few rows) names, the rows with the least hashes of key, at most `limit` many.
+
+    Rows are counted by group first; only those whose hash lies under four times the limit's share of the hashes
+    take part in the ranking, so what a group's task reads doesn't grow with the table.
+    """
+    counts = rows.groupBy(group).agg(F.count("*").alias("__n")).join(F.broadcast(limits), group)
+    near = rows.withColumn("__h", F.xxhash64(key)).join(F.broadcast(counts), group)
+    near = near.where(F.col("__h") / F.lit(2.0**64) + 0.5 <= 4 * (F.col(limit) + 8) / F.col("__n"))
+    order = Window.partitionBy(group).orderBy("__h", *rows.columns)
+    return near.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= F.col(limit)).select(*rows.columns)
+
+
 def spread_join(rows: DataFrame, found: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
     """Inner join of rows with found, which has each key once and in `weight` how many of the `total` rows have it.
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, lean, table
 
 PIVOTS, BLOCK, FIRST = 16, 4096, 48
 
@@ -52,7 +52,7 @@ def _pack(rows: DataFrame, pivots: np.ndarray, longest: float | None) -> DataFra
                 values = [ids.tobytes(), x.astype(np.int64).tobytes(), _distances(x, extra, pivots).tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in values], names=["ids", "x", "d"])
 
-    return rows.mapInArrow(run, "ids binary, x binary, d binary")
+    return rows.mapInArrow(lean(run), "ids binary, x binary, d binary")
 
 
 def _best(ids: np.ndarray, x: np.ndarray, d: np.ndarray, qid: int, q: np.ndarray, dq: np.ndarray, k: int, longest: float, exact: bool) -> list[tuple[int, int]]:
@@ -115,7 +115,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
                 out = [(int(qid[j]), v, s) for j in range(len(qid)) for s, v in _best(ids, x, d, int(qid[j]), y[j], e[j], k, longest, exact)]
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], names=["query_id", "vec_id", "score"])
 
-    found = c.crossJoin(q).mapInArrow(run, schema)
+    found = c.crossJoin(q).mapInArrow(lean(run), schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(f"rank <= {int(k)}").select("query_id", "rank", "vec_id", "score")
 

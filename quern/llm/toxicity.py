@@ -1,11 +1,13 @@
 """Toxicity by weak supervision.
 
-Voters look at a text: one for each strong lexicon entry (a word or the start of a word, mined from
-labelled training rows), group voters over the whole lexicon, pattern voters, and voters for the absence
-of any entry. A generative label model with one hidden label estimates by expectation maximisation how
-each voter behaves under either label, and the correlations along a maximum spanning tree of conditional
-mutual information, so that voters that repeat each other don't count twice. The training rows' labels
-enter as one more voter. A linear classifier is trained on the posterior labels; it alone scores texts.
+Voters look at a text: one for each strong lexicon entry (a word or the start of a word), group voters over
+the whole lexicon, pattern voters, and voters for the absence of any entry. A generative label model with one
+hidden label estimates by expectation maximisation, over labelled and unlabelled rows alike and without
+reading a row's label, how each voter behaves under either label, and the correlations along a maximum
+spanning tree of conditional mutual information, so that voters that repeat each other don't count twice.
+Labels of training rows pick the lexicon and give each voter's rates to begin with, which weigh as much as
+PULL rows; no row's own label enters its posterior otherwise. A linear classifier is trained on the posterior
+labels; it alone scores texts.
 """
 
 from __future__ import annotations
@@ -16,14 +18,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, first_by_hash, lean, table
 from .language_id import held_out
 
-#: labelled rows of each label that training looks at; lexicon entries; voters of single entries
+#: rows that training looks at, by label and without one; lexicon entries; voters of single entries
 ROWS_PER_LABEL = {0: 3000, 1: 2000}
+UNLABELLED_ROWS = 3000
+#: share of the toxic training rows that must hold a lexicon entry; rows that a voter's believed rates weigh
+SUPPORT, PULL = 0.02, 30.0
 MAX_ENTRIES, ENTRY_VOTERS = 1500, 40
 STARTS = (4, 5, 6)
 MAX_CACHED = 1 << 19
@@ -81,14 +86,18 @@ def votes(found: np.ndarray, extra: np.ndarray, singles: np.ndarray) -> np.ndarr
     return np.array(columns, bool).T.astype(np.int64)
 
 
-def label_model(v: np.ndarray, prior: float, rounds: int = 25, smooth: float = 0.5) -> tuple[np.ndarray, dict]:
+def label_model(v: np.ndarray, rates: np.ndarray, prior: float, rounds: int = 25, smooth: float = 0.5, pull: float = PULL) -> tuple[np.ndarray, dict]:
     """Posterior probability of label 1 for each row of votes, and the parameters.
 
-    P(votes | label) factorises along a tree: each voter depends on the label and one other voter. The
-    first posterior is the share of the anchors among the votes: the last voter where it speaks up.
+    P(votes | label) factorises along a tree: each voter depends on the label and one other voter. rates
+    (voters x 2) holds how often each voter is believed to speak up under either label: they give the first
+    posterior, and weigh as much as `pull` rows in what is estimated afterwards. prior: the first share of label 1.
     """
     n, k = v.shape
-    post = np.clip(v[:, -1] * 0.9 + 0.05, 0.01, 0.99)
+    speak, hush = np.log(rates), np.log(1 - rates)
+    odds = v @ (speak[:, 1] - speak[:, 0]) + (1 - v) @ (hush[:, 1] - hush[:, 0])
+    # voters repeat each other: their evidence counts by the square root of their number until the tree is known
+    post = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + odds / np.sqrt(max(k, 1)), -60, 60)))
     parent = np.full(k, -1)
     cond = np.zeros((k, 2, 2, 2))
     for turn in range(rounds):
@@ -121,7 +130,7 @@ def label_model(v: np.ndarray, prior: float, rounds: int = 25, smooth: float = 0
                 for s in (0, 1):
                     here = state == s
                     ones = (w[y] * v[:, i])[here].sum()
-                    cond[i, y, s, 1] = (ones + smooth) / (w[y][here].sum() + 2 * smooth)
+                    cond[i, y, s, 1] = (ones + smooth + pull * rates[i, y]) / (w[y][here].sum() + 2 * smooth + pull)
                     cond[i, y, s, 0] = 1 - cond[i, y, s, 1]
                 log[y] += np.log(cond[i, y, state, v[:, i]])
         post = 1 / (1 + np.exp(np.clip(log[0] - log[1], -60, 60)))
@@ -129,15 +138,13 @@ def label_model(v: np.ndarray, prior: float, rounds: int = 25, smooth: float = 0
 
 
 def linear(x: np.ndarray, target: np.ndarray, steps: int = 400, penalty: float = 2e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on probabilities as targets, both labels weighing the same in sum."""
+    """Logistic regression on probabilities as targets."""
     n, k = x.shape
     w, b = np.zeros(k, np.float64), 0.0
-    weight = target / max(target.sum(), 1e-9) + (1 - target) / max((1 - target).sum(), 1e-9)
-    weight /= weight.sum()
     m, s = np.zeros(k + 1), np.zeros(k + 1)
     for step in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w + b, -60, 60)))
-        d = (p - target) * weight
+        d = (p - target) / max(n, 1)
         g = np.append(x.T @ d + penalty * w, d.sum())
         m += 0.1 * (g - m)
         s += 0.001 * (g * g - s)
@@ -148,16 +155,22 @@ def linear(x: np.ndarray, target: np.ndarray, steps: int = 400, penalty: float =
 
 
 def _sample(docs: DataFrame, labels: DataFrame, allowed: Column) -> DataFrame:
-    """doc_id, toxic, text of the training rows; ROWS_PER_LABEL of each label, in the order of a hash of doc_id."""
-    y = labels.where(allowed & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    y = y.withColumn("k", F.row_number().over(order)).where(" or ".join(f"(toxic = {t} and k <= {n})" for t, n in ROWS_PER_LABEL.items())).select("doc_id", "toxic")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    return cut(texts.join(F.broadcast(y), "doc_id"))  # at most the rows of ROWS_PER_LABEL
+    """doc_id, toxic (null: not labelled), text of the training rows, at most ROWS_PER_LABEL and UNLABELLED_ROWS, by a hash of doc_id.
+
+    Rows that share a doc_id are one, with the least of their texts; of several labels the greatest holds.
+    """
+    y = labels.where(allowed & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    most = docs.sparkSession.createDataFrame([*ROWS_PER_LABEL.items()], "toxic int, most int")
+    y = first_by_hash(y, "toxic", most, "most")
+    texts = docs.where(allowed).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    ids = texts.select("doc_id").distinct().join(labels.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_anti").withColumn("all", F.lit(1))
+    rest = first_by_hash(ids, "all", docs.sparkSession.createDataFrame([(1, UNLABELLED_ROWS)], "all int, most int"), "most")
+    chosen = y.unionByName(rest.select("doc_id", F.lit(None).cast("int").alias("toxic")))  # at most the sum of the limits
+    return cut(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column) -> Model:
-    """A model from the labelled rows that `allowed` (over the columns of labels) admits; without any, one that scores 0."""
+    """A model from the rows that `allowed` (over doc_id) admits; where a label has no row, one that scores 0."""
     rows = _sample(docs, labels, allowed)
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,20 +178,21 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column) -> Model:
             sets = [sorted({e for w in set(_words(t.as_py().lower())) for e in entries(w)}) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.string()))], names=["toxic", "entries"])
 
-    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # three rows
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not n0 or not n1:
         return Model({}, np.zeros(0), np.zeros(4), -30.0)
     counts = (
-        rows.select("toxic", "text")
-        .mapInArrow(spell, "toxic int, entries array<string>")
+        rows.where("toxic is not null")
+        .select("toxic", "text")
+        .mapInArrow(lean(spell), "toxic int, entries array<string>")
         .select("toxic", F.explode("entries").alias("entry"))
         .groupBy("entry")
         .agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     )
     odds = F.log((F.col("a") + 0.5) / (n1 + 1) / ((F.col("b") + 0.5) / (n0 + 1)))
     found = (
-        counts.where(F.col("a") >= max(3, n1 // 500))
+        counts.where(F.col("a") >= max(3.0, SUPPORT * n1))
         .withColumn("odds", odds)
         .where(F.col("odds") >= np.log(8))
         .withColumn("worth", F.col("a") * F.col("odds"))
@@ -197,16 +211,18 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column) -> Model:
                 names=["doc_id", "toxic", "found", "extra"],
             )
 
-    seen = rows.select("doc_id", "toxic", "text").mapInArrow(match, "doc_id long, toxic int, found array<int>, extra array<double>").collect()
-    seen.sort(key=lambda r: (r["doc_id"], r["found"]))
-    y = np.array([r["toxic"] for r in seen])
+    seen = rows.select("doc_id", "toxic", "text").mapInArrow(lean(match), "doc_id long, toxic int, found array<int>, extra array<double>").collect()
+    seen.sort(key=lambda r: r["doc_id"])
     x = np.zeros((len(seen), len(lexicon)), np.float32)
     for i, r in enumerate(seen):
         x[i, r["found"]] = 1
     extra = np.array([r["extra"] for r in seen])
-    singles = np.argsort(-x[y == 1].sum(axis=0), kind="stable")[:ENTRY_VOTERS] if len(lexicon) else np.zeros(0, int)
-    v = np.column_stack([votes(x > 0, extra, singles), y])
-    post, _ = label_model(v, prior=float(y.mean()))
+    singles = np.argsort(-x.sum(axis=0), kind="stable")[:ENTRY_VOTERS] if len(lexicon) else np.zeros(0, int)
+    v = votes(x > 0, extra, singles)
+    gold = np.array([-1 if r["toxic"] is None else r["toxic"] for r in seen])
+    rates = np.stack([(v[gold == t].sum(axis=0) + 0.5) / ((gold == t).sum() + 1) for t in (0, 1)], axis=1)
+    # from here on no row's label is read
+    post, _ = label_model(v, rates, prior=n1 / (n0 + n1))
     w, b = linear(np.column_stack([x, extra]).astype(np.float64), post)
     return Model(lexicon, w[: len(lexicon)], w[len(lexicon) :], b)
 
@@ -233,7 +249,7 @@ def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("score", "pre
             arrays = [batch.column(i) for i in range(where)] + [pa.array(out, pa.float64()), pa.array([int(s >= 0.5) for s in out], pa.int32())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*columns, *names])
 
-    return docs.select(*columns, F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*columns, F.col("text").cast("string").alias("__text")).mapInArrow(lean(run), schema)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, table
+from .common import in_batches, table
 
 Turn = tuple[str, str]
 CONTROL = ("<<SYS>>", "<</SYS>>", "[/INST]", "[INST]", "[/ROLE]", "[ROLE]", "[/NAME]", "</s>", "<s>")
@@ -118,7 +118,7 @@ def format_conversations(rows: DataFrame) -> DataFrame:
                 names=["conv_id", "formatted", "turns_at", "texts_at", "roles", "rewrites"],
             )
 
-    return grouped.mapInArrow(lean(run), "conv_id long, formatted string, turns_at array<array<long>>, texts_at array<array<long>>, roles array<string>, rewrites boolean")
+    return in_batches(grouped, run, "conv_id long, formatted string, turns_at array<array<long>>, texts_at array<array<long>>, roles array<string>, rewrites boolean")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def digests(formatted: DataFrame) -> DataFrame:
             )
 
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return formatted.select("conv_id", "formatted", "texts_at", "roles").mapInArrow(lean(run), schema)
+    return in_batches(formatted.select("conv_id", "formatted", "texts_at", "roles"), run, schema)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

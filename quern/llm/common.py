@@ -19,6 +19,18 @@ from pyspark.sql import functions as F
 HOT_KEYS, SALTS, BROADCAST_IDS = 1000, 64, 1 << 18
 
 
+#: rows of an Arrow batch: whole texts are long, and several batches are in memory at a time in the JVM and in Python
+BATCH_ROWS = 1000
+
+
+def in_batches(rows: DataFrame, run: Callable[[Iterator], Iterator], schema) -> DataFrame:
+    """mapInArrow with batches of at most BATCH_ROWS rows (set in the session, unless it has less) and workers that give memory back."""
+    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return rows.mapInArrow(lean(run), schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

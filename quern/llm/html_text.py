@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, table
+from .common import in_batches, table
 
 #: tags that open a block of their own
 BLOCK = frozenset(
@@ -344,7 +344,7 @@ def extract_text(pages: DataFrame, chain: Chain | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")
+    return in_batches(rows, run, "page_id long, url string, text string, n_chars long")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,26 +9,26 @@ of labelled texts; scoring is one pass over the table without a shuffle.
 from __future__ import annotations
 
 import random
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import first_by_hash, in_batches, table
 
 HIDDEN, WIDTH = 12, 8
 #: bytes of a segment when scoring, and segments that are scored together
-SEGMENT, TOGETHER = 128, 4096
+SEGMENT, TOGETHER = 128, 2048
 #: labelled texts of each language that training looks at, languages at most, and characters of each text
 TEXTS_PER_LANGUAGE, MAX_LANGUAGES, CHARACTERS = 400, 200, 480
 UNDETERMINED = "und"
 #: letters of Greek, Cyrillic, Hebrew, Arabic, Devanagari, Thai, kana, Han, Hangul
 SCRIPTS = ((0x3B1, 0x3C9), (0x410, 0x44F), (0x5D0, 0x5EA), (0x620, 0x64A), (0x905, 0x939), (0xE01, 0xE30), (0x3041, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
-_letter = re.compile(r"[^\W\d_]").search
+_letter = regex.compile(r"\p{L}").search
 
 
 @dataclass
@@ -211,15 +211,18 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
 
 
 def sample(docs: DataFrame, allowed: Column) -> list[tuple[str, str]]:
-    """Text and language of at most TEXTS_PER_LANGUAGE texts of each language among the allowed rows with a language and a text."""
+    """Text and language of at most TEXTS_PER_LANGUAGE texts of each language among the allowed rows with a language and a text.
+
+    Of more than MAX_LANGUAGES languages the most frequent are taken.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    languages = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    languages = languages.select("lang", F.lit(TEXTS_PER_LANGUAGE).alias("most"))
     # a part of each text at a place that its id decides
     span = F.substring("text", F.lit(1) + F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - CHARACTERS, F.lit(1))).cast("int"), F.lit(CHARACTERS))
-    rows = rows.withColumn("text", span).withColumn("k", F.row_number().over(order)).where(f"k <= {TEXTS_PER_LANGUAGE}")
-    found = rows.orderBy("lang", "k").limit(TEXTS_PER_LANGUAGE * MAX_LANGUAGES).collect()
-    return [(r["text"], r["lang"]) for r in found]
+    found = first_by_hash(rows.withColumn("text", span), "lang", languages, "most").collect()  # at most both limits' product
+    return sorted((r["text"], r["lang"]) for r in found)
 
 
 def fit(docs: DataFrame, allowed: Column) -> Network:
@@ -262,9 +265,7 @@ def fit_with_noise(docs: DataFrame, allowed: Column) -> tuple[Network, float]:
 
 
 def has_letter(text: Column) -> Column:
-    return F.udf(lambda t: t is not None and _letter(t) is not None, "boolean")(text)
-
-
+    return F.coalesce(text, F.lit("")).rlike(r"\p{L}")
 
 
 def predict(docs: DataFrame, net: Network, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -294,7 +295,7 @@ def predict(docs: DataFrame, net: Network, names: tuple[str, str] = ("lang_pred"
                 arrays = [part.column(i) for i in range(where)] + [pa.array(pred, pa.string()), pa.array(score, pa.float64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*columns, *names])
 
-    return kept.mapInArrow(run, schema)
+    return in_batches(kept, run, schema)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

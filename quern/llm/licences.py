@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, table
+from .common import in_batches, table
 
 THRESHOLD = 0.8
 #: names and texts of the bundled templates (fixed values: published notices)
@@ -143,7 +143,7 @@ def scan_licences(docs: DataFrame, templates: dict[str, str] | None = None, thre
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lean(run), "doc_id long, licence string, dice double, n_passages long, licences array<string>")
+    return in_batches(rows, run, "doc_id long, licence string, dice double, n_passages long, licences array<string>")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_ids, components, cut, lean, spread_join, table
+from .common import by_ids, components, cut, in_batches, spread_join, table
 
 #: members of a band bucket up to which its pairs are listed
 SMALL = 24
@@ -46,7 +46,7 @@ HUBS = 2
 RARE = 16
 MANTISSA = 10
 EMPTY = 0xFFFF
-MAX_WORDS_CACHED = 1 << 19
+MAX_WORDS_CACHED = 1 << 17
 
 _U = np.uint64
 
@@ -152,7 +152,7 @@ def sketch(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 names=["doc_id", "tag", "n", "set_hi", "set_lo", "regs"],
             )
 
-    return docs.select("doc_id", "tag", "text").mapInArrow(lean(run), schema)
+    return in_batches(docs.select("doc_id", "tag", "text"), run, schema)
 
 
 def _banded(reps: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -165,7 +165,7 @@ def _banded(reps: DataFrame, bands: int, rows: int) -> DataFrame:
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(ids, [len(x) for x in keys]))], names=["key", "doc_id"])
 
-    return reps.select("doc_id", "regs").mapInArrow(lean(run), "key long, doc_id long")
+    return in_batches(reps.select("doc_id", "regs"), run, "key long, doc_id long")
 
 
 def _shingles(texts: DataFrame, k: int) -> DataFrame:
@@ -185,7 +185,7 @@ def _shingles(texts: DataFrame, k: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(of[0]), pa.array(of[1]), pa.array(np.concatenate(sets).view(np.int64))], names=["doc_id", "label", "s"])
                     sets, held, done = [], 0, at + 1
 
-    return texts.select("doc_id", "label", "text").mapInArrow(lean(run), "doc_id long, label long, s long")
+    return in_batches(texts.select("doc_id", "label", "text"), run, "doc_id long, label long, s long")
 
 
 def _possible(n: str, u: str, m: str, v: str, threshold: int) -> Column:
@@ -226,7 +226,7 @@ def _confirm(pairs: DataFrame, known: DataFrame, docs: DataFrame, k: int, thresh
     texts = by_ids(docs, wanted, "left_semi").select("doc_id", "text")
     # a hub is a dst: its text joins last and does not travel with every pair
     with_text = screened.join(texts.select(F.col("doc_id").alias("src"), F.col("text").alias("text_a")), "src").join(texts.select(F.col("doc_id").alias("dst"), F.col("text").alias("text_b")), "dst")
-    return with_text.select("src", "dst", "text_a", "text_b").mapInArrow(lean(run), "src long, dst long")
+    return in_batches(with_text.select("src", "dst", "text_a", "text_b"), run, "src long, dst long")
 
 
 def _left_over(rows: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import lean, shared_path, table
+from .common import in_batches, shared_path, table
 
 MAGIC = b"RPG1"
 FIELDS = ("doc_id", "symbols_at", "ids_at", "left", "right", "length", "symbols")
@@ -354,14 +354,13 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
         if names:
             yield flush()
 
-    (
+    ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .where("doc_id is not null")
         .repartitionByRange(count, "doc_id")
         .sortWithinPartitions("doc_id")
-        .mapInArrow(lean(run), schema)
-        .write.parquet(path)
     )
+    in_batches(ordered, run, schema).write.parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -393,7 +392,7 @@ def read_shards(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                     )
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
-    return files.select("part", "before", "body").mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    return in_batches(files.select("part", "before", "body"), run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

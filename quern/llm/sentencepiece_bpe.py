@@ -24,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import in_batches, table
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MAX_MODEL_BYTES = 64 << 20
-MAX_CHUNKS, MAX_SEGMENTS, MAX_PAIRS, LONG = 3 << 18, 1 << 19, 1 << 19, 48
+#: entries of a cache's younger half
+MAX_CHUNKS, MAX_SEGMENTS, MAX_PAIRS, LONG = 1 << 18, 1 << 17, 1 << 17, 48
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int, object]]:
@@ -121,6 +122,7 @@ class Model:
         ]
         self.fits: dict[tuple[str, str], bool] = {}
         self.chunks: dict[str, bytes] = {}
+        self.old_chunks: dict[str, bytes] = {}
         self.segments: dict[str, bytes] = {}
         self.split = re.compile(" *[^ ]+| +").findall
 
@@ -210,10 +212,13 @@ class Model:
         for chunk in self.split(" " + text if self.dummy_prefix else text):
             ids = chunks.get(chunk)
             if ids is None:
-                ids = self._chunk(chunk)
+                ids = self.old_chunks.get(chunk)
+                if ids is None:
+                    ids = self._chunk(chunk)
                 if len(chunk) <= LONG:
-                    if len(chunks) >= MAX_CHUNKS:
-                        chunks.clear()
+                    if len(chunks) >= MAX_CHUNKS:  # what is still in use comes back from the older half
+                        self.old_chunks = chunks
+                        chunks = self.chunks = {}
                     chunks[chunk] = ids
             out.append(ids)
         return b"".join(out)
@@ -300,7 +305,7 @@ def encode_decode(docs: DataFrame, model_path: str, bos: bool = True, eos: bool
                 decoded = [model.decode(memoryview(e).cast("I").tolist()) for e in encoded]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(encoded, pa.binary()), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, decoded string")
+    return in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, ids binary, decoded string")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, first_by_hash, lean, table
+from .common import cut, first_by_hash, in_batches, table
 from .language_id import held_out
 
 #: rows that training looks at, by label and without one; lexicon entries; voters of single entries
@@ -31,7 +31,7 @@ UNLABELLED_ROWS = 3000
 SUPPORT, PULL = 0.02, 30.0
 MAX_ENTRIES, ENTRY_VOTERS = 1500, 40
 STARTS = (4, 5, 6)
-MAX_CACHED = 1 << 19
+MAX_CACHED = 1 << 18
 _words = re.compile(r"\w+").findall
 _shout = re.compile(r"[!?]{3,}").search
 _address = re.compile(r"\b(?:you|your|you're|du|ihr|tu|vous|usted)\b").search
@@ -183,9 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column) -> Model:
     if not n0 or not n1:
         return Model({}, np.zeros(0), np.zeros(4), -30.0)
     counts = (
-        rows.where("toxic is not null")
-        .select("toxic", "text")
-        .mapInArrow(lean(spell), "toxic int, entries array<string>")
+        in_batches(rows.where("toxic is not null").select("toxic", "text"), spell, "toxic int, entries array<string>")
         .select("toxic", F.explode("entries").alias("entry"))
         .groupBy("entry")
         .agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
@@ -211,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column) -> Model:
                 names=["doc_id", "toxic", "found", "extra"],
             )
 
-    seen = rows.select("doc_id", "toxic", "text").mapInArrow(lean(match), "doc_id long, toxic int, found array<int>, extra array<double>").collect()
+    seen = in_batches(rows.select("doc_id", "toxic", "text"), match, "doc_id long, toxic int, found array<int>, extra array<double>").collect()
     seen.sort(key=lambda r: r["doc_id"])
     x = np.zeros((len(seen), len(lexicon)), np.float32)
     for i, r in enumerate(seen):
@@ -249,7 +247,7 @@ def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("score", "pre
             arrays = [batch.column(i) for i in range(where)] + [pa.array(out, pa.float64()), pa.array([int(s >= 0.5) for s in out], pa.int32())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*columns, *names])
 
-    return docs.select(*columns, F.col("text").cast("string").alias("__text")).mapInArrow(lean(run), schema)
+    return in_batches(docs.select(*columns, F.col("text").cast("string").alias("__text")), run, schema)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

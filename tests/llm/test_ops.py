@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import chat, decontaminate, html_text, language_id, licences, minhash, registry, repair, sentencepiece_bpe, topk, toxicity
-from quern.llm.common import components
+from quern.llm.common import components, first_by_hash
 
 tok = pytest.importorskip("public_tokenizers")
 AWKWARD = [(1, None), (2, ""), (3, "  \n "), (4, "a"), (5, "a"), (6, "Hello, wörld!  𠮶 \t x"), (7, "word " * 30_000), (8, "1 2 3 !!!"), (9, "z" * 20_000)]
@@ -137,6 +137,10 @@ def test_language_held_out(spark, awkward):
     assert all((out[i]["lang_pred"], out[i]["score"]) == ("und", 0.0) for i in (1, 2, 3, 8))
     assert out[4]["lang_pred"] == out[5]["lang_pred"] != "und" and 0 < out[7]["score"] <= 1
     assert language_id.fit(awkward, F.lit(True)).languages == []
+    odd = spark.createDataFrame([(1, "²"), (2, "½ ①"), (3, "ª"), (4, "中"), (4, "中"), (5, "_ 9")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["lang_pred"] != "und") for r in language_id.predict(odd, net).collect())
+    assert got == [(i, any(map(str.isalpha, t))) for i, t in [(1, "²"), (2, "½①"), (3, "ª"), (4, "中"), (4, "中"), (5, "_9")]]
+    assert sorted(r["doc_id"] for r in odd.where(language_id.has_letter(F.col("text"))).collect()) == [3, 4, 4]
 
 
 # 4
@@ -210,9 +214,13 @@ def test_label_model():
     rng = np.random.default_rng(7)
     y = rng.random(3000) < 0.3
     good = [np.where(y, rng.random(3000) < 0.8, rng.random(3000) < 0.05) for _ in range(5)]
-    v = np.column_stack([*good, good[0], good[0], rng.random(3000) < 0.5, np.where(rng.random(3000) < 0.95, y, ~y)]).astype(np.int64)
-    post, found = toxicity.label_model(v, 0.3)
+    v = np.column_stack([*good, good[0], good[0], rng.random(3000) < 0.5]).astype(np.int64)
+    # the beliefs are off, and orient the classes all the same; no label goes in
+    rates = np.array([[0.15, 0.6]] * 7 + [[0.5, 0.5]])
+    post, found = toxicity.label_model(v, rates, 0.3)
     assert ((post >= 0.5) == y).mean() > 0.97
+    speaks = v[:, 1].astype(bool)
+    assert abs(post[speaks].mean() - y[speaks].mean()) < 0.1
     # copies of one voter hang together in the tree
     assert {int(found["parent"][5]), int(found["parent"][6]), int(found["parent"][0])} & {0, 5, 6}
 
@@ -228,10 +236,28 @@ def test_toxicity(spark, awkward):
     assert (out.predicted == (out.doc_id % 4 == 0)).all() and out.score.between(0, 1).all()
     odd = toxicity.score(awkward, model).toPandas()
     assert len(odd) == len(AWKWARD) and (odd.predicted == 0).all()
+    twice = toxicity.fit(docs.unionByName(docs), labels.unionByName(labels), ~language_id.held_out(F.col("doc_id"), 5, 0))
+    assert toxicity.score(docs, twice).toPandas().predicted.equals(out.predicted)
     none = toxicity.fit(docs, empty(labels), F.lit(True))
     assert (toxicity.score(docs, none).toPandas().predicted == 0).all()
 
 
+def test_toxicity_held_out(spark):
+    got = toxicity.op6(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out").toPandas()
+    hit = (got.predicted == 1) & (got.toxic == 1)
+    assert hit.sum() >= 0.75 * (got.toxic == 1).sum() and hit.sum() >= 0.95 * (got.predicted == 1).sum()
+
+
+def test_first_by_hash(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 1000 == 1, "b").otherwise("c").alias("g"))
+    limits = spark.createDataFrame([("a", 50), ("b", 500)], "g string, most int")
+    got = first_by_hash(rows, "g", limits, "most").collect()
+    order = {r["doc_id"]: r["h"] for r in rows.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    want = sorted((i for i in range(0, 20_000, 3)), key=order.get)[:50]
+    assert sorted(r["doc_id"] for r in got if r["g"] == "a") == sorted(want)
+    assert sum(r["g"] == "b" for r in got) == sum(i % 1000 == 1 and i % 3 != 0 for i in range(20_000)) and len(got) == 50 + sum(r["g"] == "b" for r in got)
+
+
 # 7
 def test_html(spark):
     chain = html_text.default_chain()

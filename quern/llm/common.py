@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -76,7 +75,6 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
         try:
             yield from run(batches)
         finally:
-            gc.collect()
             pa.default_memory_pool().release_unused()
             with contextlib.suppress(OSError, AttributeError):
                 ctypes.CDLL(None).malloc_trim(0)
@@ -113,6 +111,7 @@ def spread_join(rows: DataFrame, found: DataFrame, on: list[str], weight: str, t
 
 def by_ids(rows: DataFrame, ids: DataFrame, how: str, on: list[str] | None = None) -> DataFrame:
     """Join of rows with ids (a narrow table that has each key once), which is broadcast if it has at most BROADCAST_IDS rows."""
+    ids = cut(ids)
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return rows.join(F.broadcast(ids) if few else ids, on or ids.columns, how)
 

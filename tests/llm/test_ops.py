@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +108,31 @@ def test_added_tokens(spark, tmp_path):
     assert all(np.frombuffer(own.encode(t), "<u4").tolist() == want(t) for t in texts)
 
 
+def test_batches_of_texts(spark, tmp_path):
+    """Whole batches come out as the library encodes text by text, also after the table of pieces was cleared."""
+    from tokenizers import Tokenizer
+
+    path = tok.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    fast = repair.Batches(repair.ByteBpe(open(path, encoding="utf-8").read()))
+    rng = random.Random(22)
+    parts = ["a", "bc", "'s", "é中", "1.", ", ", " ", " ", "\n", "\n\n", "\t", "\u3000", "\x1c", "\x85", "\xa0", "\u200b", "<|endoftext|>", "the", "\r\n", "\x00"]
+    texts = [None if rng.random() < 0.02 else "".join(rng.choice(parts[: rng.choice((9, 20))]) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    repair.MAX_CHUNKS, held = 500, repair.MAX_CHUNKS
+    try:
+        for at in range(0, len(texts), 250):
+            got = fast.encode(pa.array(texts[at : at + 300], pa.string()).slice(50))
+            assert [g.tolist() for g in got] == [lib.encode(t or "", add_special_tokens=False).ids for t in texts[at + 50 : at + 300]]
+    finally:
+        repair.MAX_CHUNKS = held
+    rows = [(None, "a b"), (3, "c"), (3, "d e"), (None, None), (1, "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit("x").alias("body"), F.lit(0).alias("part"))
+    repair.write_shards(df, path, str(tmp_path / "ids"), shard_ids=3, partitions=2)
+    got = repair.read_shards(spark, str(tmp_path / "ids"), with_ids=True).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, None, 1, 3, 3] and got[-1]["start"] + got[-1]["n_tokens"] == sum(len(lib.encode(t or "").ids) + 1 for _, t in rows)
+    assert sorted(bytes(r["ids"]) for r in got) == sorted(struct.pack(f"<{len(i)}I", *i) for _, t in rows for i in [[*lib.encode(t or "", add_special_tokens=False).ids, 2]])
+
+
 # 3
 def test_language_gradients():
     net = language_id.train(["abc", "xyz"], ["a", "x"], hidden=4, steps=3)

@@ -13,10 +13,11 @@ query, so what travels grows with blocks, not with pairs of vectors.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, lean, table
@@ -25,12 +26,10 @@ PIVOTS, BLOCK, FIRST = 16, 4096, 48
 
 
 def integers(vectors: DataFrame) -> DataFrame:
-    """vec_id, v: floor(256 * x) of each component as double; only whole finite vectors of the commonest dimension (of equals the largest)."""
+    """vec_id, v: floor(256 * x) of each component as double, of all vectors that are neither null nor empty and hold finite numbers alone."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("e")).where("vec_id is not null and e is not null")
     fine = rows.where(F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.size("e") > 0))
-    top = fine.groupBy(F.size("e").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).limit(1).collect()
-    size = top[0]["d"] if top else 0
-    return fine.where(F.size("e") == size).select("vec_id", F.transform("e", lambda x: F.floor(x * 256).cast("double")).alias("v"))
+    return fine.select("vec_id", F.transform("e", lambda x: F.floor(x * 256).cast("double")).alias("v"))
 
 
 def _distances(x: np.ndarray, extra: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -42,15 +41,28 @@ def _distances(x: np.ndarray, extra: np.ndarray, pivots: np.ndarray) -> np.ndarr
 def _pack(rows: DataFrame, pivots: np.ndarray, longest: float | None) -> DataFrame:
     """One row a block: ids, vectors, distances to the pivots. longest: M for candidates, None for queries."""
 
+    def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        part = pa.concat_batches(held)
+        ids = part.column(0).to_numpy()
+        x = np.array(part.column(1).flatten(), np.float64).reshape(len(ids), -1)
+        extra = np.zeros(len(ids)) if longest is None else np.sqrt(np.maximum(longest - (x * x).sum(axis=1), 0))
+        values = [ids.tobytes(), x.astype(np.int64).tobytes(), _distances(x, extra, pivots).tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in values], names=["ids", "x", "d"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        room = BLOCK
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
-                ids = np.array(part.column(0).to_pylist(), np.int64)
-                x = np.array(part.column(1).flatten(), np.float64).reshape(len(ids), -1)
-                extra = np.zeros(len(ids)) if longest is None else np.sqrt(np.maximum(longest - (x * x).sum(axis=1), 0))
-                values = [ids.tobytes(), x.astype(np.int64).tobytes(), _distances(x, extra, pivots).tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in values], names=["ids", "x", "d"])
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, room)
+                held.append(part)
+                at, room = at + part.num_rows, room - part.num_rows
+                if not room:
+                    yield pack(held)
+                    held, room = [], BLOCK
+        if held:
+            yield pack(held)
 
     return rows.mapInArrow(lean(run), "ids binary, x binary, d binary")
 
@@ -85,19 +97,27 @@ def _best(ids: np.ndarray, x: np.ndarray, d: np.ndarray, qid: int, q: np.ndarray
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k largest products among the candidates of another id, ties to the smaller id.
 
-    queries and candidates: vec_id, v (array of whole numbers as double). Equal vectors are all kept apart.
-    An empty side gives no rows. Rows that repeat a vec_id count once.
+    queries and candidates: vec_id, v (array of whole numbers as double). Only vectors of equal length have a
+    product; each length is a search of its own. Of queries that share a vec_id the least vector asks; candidates
+    that share one are all candidates. An empty side gives no rows. Products that could leave 63 bits are refused.
     """
-    candidates = candidates.dropDuplicates(["vec_id"])
-    queries = queries.dropDuplicates(["vec_id"])
+    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    top = candidates.agg(F.max(square).alias("m"), F.max(F.array_max(F.transform("v", F.abs))).alias("c"), F.max(F.size("v")).alias("d")).first()
+    sides = candidates.groupBy(F.size("v").alias("d")).agg(F.max(square).alias("m"), F.max(F.array_max(F.transform("v", F.abs))).alias("c"))
+    asked = queries.groupBy(F.size("v").alias("d")).agg(F.max(F.array_max(F.transform("v", F.abs))).alias("q"))
+    found = [_top_k(queries.where(F.size("v") == r["d"]), candidates.where(F.size("v") == r["d"]), k, r) for r in sides.join(asked, "d").orderBy("d").collect()]  # a row a length
+    empty = candidates.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return reduce(DataFrame.unionByName, found, empty)
+
+
+def _top_k(queries: DataFrame, candidates: DataFrame, k: int, top: Row) -> DataFrame:
+    """top_k of vectors of one length d; top: d, the candidates' largest square length m and component c, the queries' largest component q."""
+    if top["c"] * top["q"] * top["d"] >= 2.0**63:
+        raise OverflowError("products of these vectors don't fit into 63 bits")
     schema = "query_id long, vec_id long, score long"
-    longest = float(top["m"] or 0.0)
-    exact = float(top["c"] or 0.0) ** 2 * (top["d"] or 0) < 2**52
+    longest = float(top["m"])
+    exact = top["c"] * top["q"] * top["d"] < 2**52
     picked = candidates.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()
-    if not picked:
-        return candidates.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     p = np.array([r["v"] for r in picked], np.float64)
     pivots = np.column_stack([p, np.sqrt(np.maximum(longest - (p * p).sum(axis=1), 0))])
     # as few blocks as their size allows: the work is one row for each pair of blocks
@@ -127,10 +147,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """WITH fine AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-  FROM fine q JOIN fine c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+  FROM fine q JOIN fine c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5"""

@@ -12,6 +12,7 @@ import functools
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -50,7 +51,10 @@ _hint = {word: kind for kind, words in HINTS.items() for word in words}
 
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    """A leaf block: the distinct marks of the elements around it, the innermost of them, its text and how much of it is linked."""
+
+    inside: frozenset[str]
+    own: str
     text: str
     linked: int
 
@@ -61,23 +65,35 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     path: list[str] = []
     parts: list[str] = []
+    #: how often each mark is on the path and each tag on the stack; the distinct marks, shared by the blocks
+    counts: Counter[str] = Counter()
+    open_tags: Counter[str] = Counter()
+    inside: frozenset[str] | None = frozenset()
     linked = links = hidden = 0
     at = 0
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, inside
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(tuple(path), text, linked))
+                if inside is None:
+                    inside = frozenset(counts)
+                out.append(Block(inside, path[-1] if path else "", text, linked))
             parts.clear()
         linked = 0
 
     def close(k: int) -> None:
-        nonlocal links, hidden
+        nonlocal links, hidden, inside
         for tag, marks in stack[k:]:
             links -= tag == "a"
             hidden -= tag in HIDDEN or "hidden" in marks
+            open_tags[tag] -= 1
+            for mark in marks:
+                counts[mark] -= 1
+                if not counts[mark]:
+                    del counts[mark]
+                    inside = None
             if marks:
                 del path[len(path) - len(marks) :]
         del stack[k:]
@@ -86,10 +102,10 @@ def blocks(page: str) -> list[Block]:
         m = _token.search(page, at)
         if m is None:
             if not hidden:
-                parts.append(page[at:])
+                parts.append(html.unescape(page[at:]))
             break
         if m.start() > at and not hidden:
-            piece = page[at : m.start()]
+            piece = html.unescape(page[at : m.start()])  # references don't reach across tags
             parts.append(piece)
             if links:
                 linked += len(piece)
@@ -97,19 +113,19 @@ def blocks(page: str) -> list[Block]:
         tag = (m[2] or "").lower()
         if not tag:
             if m[0].startswith("<![CDATA[") and not hidden:
-                parts.append(html.escape(m[0][9:].removesuffix("]]>"), quote=False))
+                parts.append(m[0][9:].removesuffix("]]>"))
             continue
         if tag in BLOCK:
             flush()
         elif tag == "br":
             parts.append("\n")
         if m[1]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None) if open_tags[tag] else None
             # an inline tag does not close the blocks around it
             if k is not None and (tag in BLOCK or not any(t in BLOCK for t, _ in stack[k + 1 :])):
                 close(k)
             continue
-        if tag in BLOCK and tag not in ("html", "body") and any(t == "p" for t, _ in stack):
+        if tag in BLOCK and tag not in ("html", "body") and open_tags["p"]:
             k = max(i for i, (t, _) in enumerate(stack) if t == "p")  # a block-level tag ends an open paragraph
             close(k)
         elif tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
@@ -120,6 +136,11 @@ def blocks(page: str) -> list[Block]:
             continue
         marks = _marks(tag, m[3]) if tag in BLOCK or tag in HIDDEN or m[3] else ()
         stack.append((tag, marks))
+        open_tags[tag] += 1
+        for mark in marks:
+            if mark not in counts:
+                inside = None
+            counts[mark] += 1
         path.extend(marks)
         links += tag == "a"
         if tag in HIDDEN or "hidden" in marks:
@@ -157,8 +178,8 @@ def features(found: list[Block]) -> list[list[str]]:
         out.append(
             [
                 "bias",
-                *{f"in:{p}" for p in b.path},
-                f"own:{b.path[-1] if b.path else ''}",
+                *(f"in:{p}" for p in b.inside),
+                f"own:{b.own}",
                 f"length:{min(8, n.bit_length())}",
                 f"linked:{0 if not b.linked else 1 if share < 0.5 else 2}",
                 f"sentence:{bool(_sentence(b.text))}",

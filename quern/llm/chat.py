@@ -2,8 +2,9 @@
 
 For each conversation the template renders successive turn prefixes. Where an output starts with the one
 before it, the rest is the new turn's span; where it doesn't, the template rewrites history and the
-conversation is marked. A second rendering with a private-use probe in place of the turn's text shows
-where in the span the text stands, which gives the loss mask of assistant texts.
+conversation is marked. A second rendering with a probe in place of the turn's text, a run of a private-use
+character longer than any in the conversation, shows where in the span the text stands, which gives the loss
+mask of assistant texts.
 
 The bundled template marks turns and escapes its control strings inside texts by a backslash after their
 first character (backslashes themselves double), so a text can't open or close a turn and reads back exactly.
@@ -70,6 +71,8 @@ def spans(template: Callable[[list[Turn]], str], turns: list[Turn]) -> tuple[str
     A turn whose output does not extend the output before it has no span, and neither have the turns before it.
     """
     before, found, rewrites = "", [], False
+    runs = re.findall(f"{PROBE}+", "\n".join(part for turn in turns for part in turn))
+    mark = PROBE * (max(map(len, runs), default=0) + 1)
     for k in range(1, len(turns) + 1):
         prefix = turns[:k]
         output = template(prefix)
@@ -77,13 +80,13 @@ def spans(template: Callable[[list[Turn]], str], turns: list[Turn]) -> tuple[str
             rewrites = True
             found = [None] * k
         else:
-            role, text = prefix[-1]
-            probe = template([*prefix[:-1], (role, PROBE)])
-            at = probe.find(PROBE, len(before))
-            if text == PROBE or at < 0 or not probe.startswith(output[:at]):
+            role = prefix[-1][0]
+            probe = template([*prefix[:-1], (role, mark)])
+            at = probe.find(mark, len(before))
+            if at < 0 or not probe.startswith(output[:at]):
                 found.append((len(before), len(output), len(before), len(output)))
             else:
-                found.append((len(before), len(output), at, len(output) - (len(probe) - at - len(PROBE))))
+                found.append((len(before), len(output), at, len(output) - (len(probe) - at - len(mark))))
         before = output
     return before, found, rewrites
 

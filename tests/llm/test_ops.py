@@ -188,6 +188,11 @@ def test_topk(spark):
     assert topk.top_k(empty(v), v, 5).count() == 0 and topk.top_k(v.limit(3), empty(v), 5).count() == 0
     few = v.where("vec_id < 3")
     assert topk.top_k(few, few, 5).count() == 6
+    mixed = spark.createDataFrame([(50, [1.0, 2.0]), (50, [3.0, 1.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [2.0, 0.0, 1.0]), (100, [1.0, 0.0, 0.0]), (150, [1.0])], "vec_id long, v array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(mixed.where("vec_id % 50 = 0"), mixed, 5).collect())
+    assert got == [(50, 1, 1, 3), (50, 2, 1, 3), (100, 1, 2, 2)]
+    with pytest.raises(OverflowError):
+        topk.top_k(mixed.select("vec_id", F.transform("v", lambda x: x * 3e9).alias("v")).where("vec_id = 50"), mixed.select("vec_id", F.transform("v", lambda x: x * 3e9).alias("v")))
 
 
 # 5
@@ -307,6 +312,57 @@ def test_hidden_is_an_attribute_name():
     assert html_text.extract(page, html_text.default_chain()) == "Title\nOne is here. Two is there."
 
 
+def test_references_within_a_tag():
+    got = [b.text for b in html_text.blocks("<p>R&<b>copy</b></p><p>A&am<i>p;</i> &amp;lt; x&#62;y</p><p>&copy<!-- -->; <![CDATA[&amp;]]></p>")]
+    assert got == ["R&copy", "A&amp; &lt; x>y", "©; &amp;"]
+
+
+def test_deep_pages():
+    import time
+    import tracemalloc
+
+    tracemalloc.start()
+    began = time.time()
+    found = html_text.blocks("<div class=nav>x" * 40_000 + "</b>" * 40_000)
+    assert len(found) == 40_000 and found[-1].inside == {"div", "hint:menu"} and tracemalloc.get_traced_memory()[1] < 200 << 20 and time.time() - began < 30
+    tracemalloc.stop()
+
+
+def test_pages(spark):
+    """Every page of the table against its article element, whose blocks are read by another parser."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.depth, self.parts = 0, [[]]
+
+        def handle_starttag(self, tag, attrs):
+            self.depth += tag == "article"
+            if tag in html_text.BLOCK:
+                self.parts.append([])
+
+        def handle_endtag(self, tag):
+            self.depth -= tag == "article"
+            if tag in html_text.BLOCK:
+                self.parts.append([])
+
+        def handle_data(self, data):
+            if self.depth:
+                self.parts[-1].append(data)
+
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    got = {r["page_id"]: r for r in html_text.op7(spark, "/root/testdata/sf0.01").collect()}
+    right = 0
+    for i, page in pages.items():
+        parser = Article()
+        parser.feed(page or "")
+        lines = [" ".join("".join(p).split()) for p in parser.parts]
+        right += got[i]["text"] == "\n".join(x for x in lines if x)
+        assert got[i]["n_chars"] == len(got[i]["text"])
+    assert right >= 0.98 * len(pages), (right, len(pages))
+
+
 def test_viterbi():
     import itertools
 
@@ -327,6 +383,10 @@ def test_chat(spark):
         text, found, rewrites = chat.spans(chat.render, turns)
         assert chat.read_back(text) == turns and not rewrites
         assert [chat.unescape(text[f[2] : f[3]]) for f in found] == [t for _, t in turns]
+    p = chat.PROBE
+    for turns in ([("assistant", p)], [("assistant", p * 3), (p, "a" + p), ("assistant", ""), ("user", p * 2)], [(p, ""), ("assistant", p)]):
+        text, found, _ = chat.spans(chat.render, turns)
+        assert [chat.unescape(text[f[2] : f[3]]) for f in found] == [t for _, t in turns]
     forgetful = lambda turns: "".join(f"<{r}>{t if k == len(turns) - 1 else ''}" for k, (r, t) in enumerate(turns))
     _, found, rewrites = chat.spans(forgetful, [("user", "a"), ("user", "b")])
     assert rewrites and found == [None, None]

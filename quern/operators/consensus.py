@@ -80,13 +80,26 @@ def medoid(groups: DataFrame, texts: str, ties: str | None = None, variant: str
     far = {"normalized": lambda a, b: normalized_distance(a, b), "raw": lambda a, b: F.levenshtein(a, b).cast("double")}[variant]
     size = F.size(texts)
     less = F.greatest(size - 1, F.lit(1)) if variant == "normalized" else size
-
-    def risk(x: Column, i: Column) -> Column:
-        total = F.aggregate(F.transform(F.col(texts), lambda y: far(x, y)), F.lit(0.0), lambda a, d: a + d)
-        rank = F.element_at(F.col(ties), i + 1).cast("double") if ties else F.lit(0.0)
-        return F.struct((total / less).alias("risk"), rank.alias("rank"), i.alias("index"))
-
-    return F.array_min(F.transform(F.col(texts), risk))["index"]
+    one_side = F.flatten(
+        F.transform(
+            F.col(texts),
+            lambda x, i: F.transform(
+                F.slice(F.col(texts), i + 2, F.greatest(size - i - 1, F.lit(0))),
+                lambda y, j: F.struct(i.alias("a"), (i + j + 1).alias("b"), F.when(x == y, F.lit(0.0)).otherwise(far(x, y)).alias("d")),
+            ),
+        )
+    )
+
+    def best(pairs: Column) -> Column:
+        def risk(x: Column, i: Column) -> Column:
+            total = F.aggregate(F.filter(pairs, lambda p: (p["a"] == i) | (p["b"] == i)), F.lit(0.0), lambda t, p: t + p["d"])
+            rank = F.element_at(F.col(ties), i + 1).cast("double") if ties else F.lit(0.0)
+            return F.struct((total / less).alias("risk"), rank.alias("rank"), i.alias("index"))
+
+        return F.array_min(F.transform(F.col(texts), risk))["index"]
+
+    # bound to a variable, so that each distance is computed once
+    return F.get(F.transform(F.array(one_side), best), F.lit(0))
 
 
 def oracle(groups: DataFrame, texts: str, reference: str) -> Column:

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
+#: undecided rows up to which one task settles the rest in order
+SETTLE = 20_000
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of spark.checkpoint.dir; a local one only where none is set."""
+    """A reliable checkpoint in the folder of spark.checkpoint.dir; where none is set, in a local one, on a local master alone."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quern-"))
     return df.checkpoint()
 
 
@@ -37,18 +42,19 @@ def first_reason(rules: list[tuple[Column, str]]) -> Column:
     return case
 
 
-def accept_in_order(rows: DataFrame, order: str, keys: list[str], rounds: int = 100) -> DataFrame:
+def accept_in_order(rows: DataFrame, order: str, keys: list[str], settle: int = SETTLE) -> DataFrame:
     """Q3, Q4, Q6: greedy acceptance. A row is rejected if an accepted earlier row has one of its keys.
 
     rows: an order column without ties and key columns (null keys never clash). Adds accepted and reason
     (`duplicate_<key>` of the first key in precedence that an accepted earlier row holds). In each round
     a row that is the least undecided one of all its keys is accepted and rows that share a key with an
-    accepted row are rejected; a round is one shuffle a key over the undecided rows.
+    accepted row are rejected; a round is one shuffle a key over the undecided rows. Rounds go on until at most
+    `settle` rows are undecided (long chains of rows need a round a row), which one task then walks in order.
     """
     open_rows = rows.select(order, *keys)
     held: DataFrame | None = None
     done: DataFrame | None = None
-    for _ in range(rounds):
+    while True:
         flagged = open_rows
         for k in keys:
             least = open_rows.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(order).alias(f"__{k}"))
@@ -70,10 +76,24 @@ def accept_in_order(rows: DataFrame, order: str, keys: list[str], rounds: int =
         )
         done = out if done is None else done.unionByName(out)
         open_rows = rest.where("reason is null").select(order, *keys)
-        if open_rows.isEmpty():
+        if open_rows.limit(settle + 1).count() <= settle:
             break
-    else:
-        raise RuntimeError("acceptance did not settle")
+
+    def walk(part: pd.DataFrame) -> pd.DataFrame:
+        taken: list[set] = [set() for _ in keys]
+        accepted = []
+        for row in part.sort_values(order)[list(keys)].itertuples(index=False):
+            mine = [(t, v) for t, v in zip(taken, row, strict=True) if v is not None and v == v]
+            accepted.append(not any(v in t for t, v in mine))
+            if accepted[-1]:
+                for t, v in mine:
+                    t.add(v)
+        return part.sort_values(order).assign(accepted=accepted)
+
+    types = {f.name: f.dataType.simpleString() for f in open_rows.schema.fields}
+    walked = cut(open_rows.groupBy(F.lit("rest")).applyInPandas(walk, ", ".join(f"`{n}` {t}" for n, t in types.items()) + ", accepted boolean"))
+    held = held.unionByName(walked.where("accepted").select(order, *keys))
+    done = done.unionByName(walked.select(order, "accepted", F.lit(None).cast("string").alias("reason")))
     decided = cut(done)
     # a row may share several keys with accepted rows of several rounds: the first key in precedence names the reason
     late = rows.select(order, *keys).join(decided.where("not accepted").select(order), order, "left_semi")

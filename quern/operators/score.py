@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from .quality import cut
+
 DELETED, INSERTED = "<del>", "<ins>"
 PAIRS = ArrayType(StructType([StructField("src", StringType()), StructField("dst", StringType())]))
 
@@ -70,7 +72,7 @@ def corpus_metrics(rows: DataFrame, by: list[str] | None = None, tolerances: tup
 
 def diagnostics(rows: DataFrame, severe: int = 5, worst: int = 20) -> DataFrame:
     """A4 over id, reference, hypothesis: distances' buckets, utterance CER moments and exact percentiles, share of edits in the worst rows."""
-    d = rows.select("id", distance(F.col("reference"), F.col("hypothesis")).alias("d"), F.greatest(F.length("reference"), F.lit(1)).alias("n"))
+    d = cut(rows.select("id", distance(F.col("reference"), F.col("hypothesis")).alias("d"), F.greatest(F.length("reference"), F.lit(1)).alias("n")))  # distances once
     top = d.orderBy(F.desc("d"), "id").limit(worst).agg(F.coalesce(F.sum("d"), F.lit(0)).alias("worst_edits"))
     u = F.col("d") / F.col("n")
     zero = lambda c: F.coalesce(F.round(c, 9), F.lit(0.0))
@@ -111,7 +113,7 @@ def worst_examples(rows: DataFrame, most: int = 100) -> DataFrame:
 
 def error_profile(rows: DataFrame, worst: tuple[int, ...] = (5, 10, 20, 50)) -> DataFrame:
     """Share of all edits in the worst n rows, and rows that look misaligned (distance of at least 0.8 of the longer side)."""
-    d = rows.select("id", distance(F.col("reference"), F.col("hypothesis")).alias("d"), F.greatest(F.length("reference"), F.length("hypothesis"), F.lit(1)).alias("n"))
+    d = cut(rows.select("id", distance(F.col("reference"), F.col("hypothesis")).alias("d"), F.greatest(F.length("reference"), F.length("hypothesis"), F.lit(1)).alias("n")))  # distances once
     top = d.orderBy(F.desc("d"), "id").limit(max(worst)).withColumn("k", F.row_number().over(Window.orderBy(F.desc("d"), "id")))  # at most max(worst) rows
     shares = top.agg(*(F.sum(F.when(F.col("k") <= k, F.col("d"))).alias(f"worst_{k}") for k in worst))
     return d.agg(F.sum("d").alias("edits"), F.count_if(F.col("d") >= 0.8 * F.col("n")).alias("misaligned")).crossJoin(shares)

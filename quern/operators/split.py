@@ -148,37 +148,37 @@ def speed_assignments(rows: DataFrame, row_id: str, seed: str) -> DataFrame:
     return permutation(rows, row_id, seed).withColumn("speed", F.element_at(F.array(F.lit(0.9), F.lit(1.0), F.lit(1.1)), (F.col("position") % 3 + 1).cast("int"))).drop("position")
 
 
-def spread_batches(official: int, other: int) -> list[str]:
-    """Spreads `official` batches evenly among `other` ones (Bresenham)."""
-    total, held, out = official + other, 0, []
-    for _ in range(total):
-        held += official
-        if held >= total:
-            held -= total
-            out.append("official")
-        else:
-            out.append("other")
-    return out
+def spread_batches(official: DataFrame, other: DataFrame, batch: str) -> DataFrame:
+    """Merges two numbered series of batches (0, 1, 2, ... in column `batch`) so that official ones are spread evenly.
 
+    After k batches at least ceil(k * official / total) are official: the j-th official one stands at the first
+    place k with j * total <= k * official, the others fill the places left. Adds place and kind.
+    """
+    counts = official.agg(F.count("*").alias("__o")).crossJoin(other.agg(F.count("*").alias("__e")))  # one row
+    n, m, j = F.col("__o"), F.col("__e"), F.col(batch)
+    # the first place k with j * (n + m) <= k * n; of the others the j-th stands behind all official ones due before it
+    first = official.crossJoin(F.broadcast(counts)).select(*official.columns, F.expr(f"cast({batch} * (__o + __e) + __o - 1 as bigint) div __o").alias("place"), F.lit("official").alias("kind"))
+    rest = other.crossJoin(F.broadcast(counts)).select(*other.columns, (j + F.when(n > 0, F.expr(f"(cast({batch} as bigint) * __o) div greatest(__e, 1)") + 1).otherwise(F.lit(0))).alias("place"), F.lit("other").alias("kind"))
+    return first.unionByName(rest)
 
-def repair_duplicates(ids: list, size: int) -> list:
-    """Swaps so that no batch of `size` holds an id twice: each clash goes with the nearest later draw that fits both batches, else the nearest earlier; fatal if none."""
-    out = list(ids)
 
-    def fits(place: int, value: object, without: int) -> bool:
-        start = place - place % size
-        return all(out[k] != value for k in range(start, min(start + size, len(out))) if k not in (place, without))
+def repair_duplicates(ids: list, size: int, groups: dict | None = None) -> list:
+    """No batch of `size` holds an id twice. A draw that its batch already holds changes places with the first draw
+    of a later batch whose id the batch lacks and, with groups (id to group), whose group is the same; fatal if none.
 
+    Over the draws of a few steps, as a list."""
+    out = list(ids)
     for place in range(len(out)):
         start = place - place % size
         if out[place] not in out[start:place]:
             continue
-        for other in [*range(start + size, len(out)), *range(start - 1, -1, -1)]:
-            if fits(place, out[other], other) and fits(other, out[place], place):
-                out[place], out[other] = out[other], out[place]
-                break
-        else:
+        rest = {*out[start:place], *out[place + 1 : start + size]}
+        wanted = groups and groups[out[place]]
+        free = (k for k in range(start + size, len(out)) if out[k] not in rest and (groups is None or groups[out[k]] == wanted))
+        other = next(free, None)
+        if other is None:
             raise ValueError("a batch can't be freed of duplicates")
+        out[place], out[other] = out[other], out[place]
     return out
 
 

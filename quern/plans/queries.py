@@ -25,15 +25,18 @@ def query(sql: str | None = None) -> Callable:
     return register
 
 
-# conversation turns as references; hypotheses drop and replace letters. DuckDB counts edits in bytes, so both sides are ASCII.
-PAIRS_SQL = """pairs AS (
+# conversation turns as references; hypotheses drop and replace letters. DuckDB counts edits in bytes, so the SQL
+# first gives each letter outside ASCII a control character of its own.
+PAIRS_SQL = """letters AS (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM conversations),
+bytes AS (SELECT c, chr(CAST(CASE WHEN k < 10 THEN k ELSE k + 1 END AS INTEGER)) AS b FROM (SELECT c, row_number() OVER (ORDER BY c) AS k FROM letters WHERE ord(c) > 127)),
+pairs AS (
   SELECT conv_id * 1000 + turn AS id, role, r AS reference, replace(replace(r, 'th', 'd'), 'in', 'n') AS hypothesis
-  FROM (SELECT conv_id, turn, role, regexp_replace(text, '[^ -~]', '', 'g') AS r FROM conversations)
+  FROM (SELECT conv_id, turn, role, translate(text, (SELECT coalesce(string_agg(c, '' ORDER BY c), '') FROM bytes), (SELECT coalesce(string_agg(b, '' ORDER BY c), '') FROM bytes)) AS r FROM conversations)
 ), scored AS (SELECT *, levenshtein(reference, hypothesis) AS d, greatest(length(reference), 1) AS n FROM pairs)"""
 
 
 def _pairs(read: Callable[[str], DataFrame]) -> DataFrame:
-    r = F.regexp_replace("text", "[^ -~]", "")
+    r = F.col("text")
     hyp = F.regexp_replace(F.regexp_replace(r, "th", "d"), "in", "n")
     return read("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role", r.alias("reference"), hyp.alias("hypothesis"))
 
@@ -132,7 +135,11 @@ def protected_overlap(read):
     return joins.protect(d, p, [("doc_id", F.col("doc_id")), ("text", F.col("text")), ("size", F.col("size"))], ["protected_id", "protected_text", "protected_size"]).select("doc_id", "reason")
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT doc_id, md5(text) AS text, source || ':' || n_chars AS size, row_number() OVER (ORDER BY doc_id) AS k FROM documents),
+r AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS doc_id, false AS a, false AS b, CAST([] AS VARCHAR[]) AS texts, CAST([] AS VARCHAR[]) AS sizes
+  UNION ALL SELECT k, doc_id, a, b, CASE WHEN a OR b THEN texts ELSE list_append(texts, text) END, CASE WHEN a OR b THEN sizes ELSE list_append(sizes, size) END
+  FROM (SELECT d.k, d.doc_id, d.text, d.size, texts, sizes, list_contains(texts, d.text) AS a, list_contains(sizes, d.size) AS b FROM r JOIN d ON d.k = r.k + 1))
+SELECT doc_id, NOT (a OR b) AS accepted, CASE WHEN a THEN 'duplicate_text' WHEN b THEN 'duplicate_size' END AS reason FROM r WHERE k > 0""")
 def greedy_acceptance(read):
     d = read("documents").select("doc_id", "text", F.concat_ws(":", "source", F.col("n_chars").cast("string")).alias("size"))
     return quality.accept_in_order(d, "doc_id", ["text", "size"]).select("doc_id", "accepted", "reason")
@@ -273,15 +280,28 @@ def reranked(read):
     return consensus.rerank(p, "conv", "i", "a", "b", 0.5)
 
 
-@query("""SELECT conv_id * 1000 + turn AS id, regexp_matches(text, '[A-Za-z]') AS has_latin, regexp_matches(text, '[0-9]') AS has_digit, false AS has_code_switch FROM conversations""")
+@query(r"""SELECT conv_id * 1000 + turn AS id, regexp_matches(text, '[A-Za-z]') AS has_latin, regexp_matches(text, '[0-9]') AS has_digit, regexp_matches(text, '[A-Za-z]') AND regexp_matches(text, '[\x{3400}-\x{9FFF}]') AS has_code_switch, contains(text, 'ou') OR contains(text, '會') AS has_word
+FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN text || '會' WHEN turn % 3 = 1 THEN '學 7' ELSE text END AS text FROM conversations)""")
 def marker_flags(read):
-    return read("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), *(c.alias(n) for n, c in T.marker_flags(F.col("text")).items()))
+    c = read("conversations").withColumn("text", F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit("會"))).when(F.col("turn") % 3 == 1, "學 7").otherwise(F.col("text")))
+    return c.withColumn("has_word", T.has_any(F.col("text"), ["ou", "會"])).select("has_word", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), *(c.alias(n) for n, c in T.marker_flags(F.col("text")).items()))
 
 
-@query()
+REPEATS_SQL = r"""t AS (SELECT id, c, length(c) AS n, CASE WHEN length(c) > 120 THEN right(c, 120) ELSE c END AS short, CASE WHEN length(c) > 160 THEN right(c, 160) ELSE c END AS long
+  FROM (SELECT id, regexp_replace(text, '\s', '', 'g') AS c FROM said)),
+runs AS (SELECT *, coalesce(list_bool_or(list_transform(range(1, n - 6), lambda i: substr(c, i, 8) = repeat(substr(c, i, 1), 8))), false) AS run FROM t)"""
+
+
+@query(f"""WITH said AS (SELECT conv_id * 1000 + turn AS id, CASE turn % 5 WHEN 0 THEN text || 'aaaaaaaa' || text WHEN 1 THEN 'xyxyxyxy' || text WHEN 2 THEN text || 'abcabcabcabc' WHEN 3 THEN text || 'abcdeabcdeabcdeabcde' ELSE text END AS text FROM conversations), {REPEATS_SQL}
+SELECT id, run OR coalesce(list_bool_or(list_transform([2, 3, 4], lambda w: coalesce(list_bool_or(list_transform(range(1, n - 119), lambda i: contains(substr(c, i), repeat(substr(c, i, w), 4)))), false))), false) AS repeated_phrase,
+  run OR coalesce(list_bool_or(list_transform(range(2, 13), lambda w: coalesce(list_bool_or(list_transform(range(1, length(short) - 4 * w + 2), lambda i: substr(short, i, 4 * w) = repeat(substr(short, i, w), 4))), false))), false) AS repeated_runaway,
+  CASE WHEN run THEN 'character' WHEN list_bool_or(list_transform([2, 3, 4], lambda w: coalesce(list_bool_or(list_transform(range(1, length(long) - 4 * w + 2), lambda i: substr(long, i, 4 * w) = repeat(substr(long, i, w), 4))), false))) THEN 'phrase' END AS cycle_kind
+FROM runs""")
 def repetition_flags(read):
+    text, turn = F.col("text"), F.col("turn") % 5
+    added = F.when(turn == 0, F.concat(text, F.lit("aaaaaaaa"), text)).when(turn == 1, F.concat(F.lit("xyxyxyxy"), text)).when(turn == 2, F.concat(text, F.lit("abcabcabcabc"))).when(turn == 3, F.concat(text, F.lit("abcdeabcdeabcdeabcde"))).otherwise(text)
     t = F.col("text")
-    return read("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), T.repeated_phrase(t).alias("repeated_phrase"), T.repeated_runaway(t).alias("repeated_runaway"), T.long_text_cycle(t)["kind"].alias("cycle_kind"))
+    return read("conversations").withColumn("text", added).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), T.repeated_phrase(t).alias("repeated_phrase"), T.repeated_runaway(t).alias("repeated_runaway"), T.long_text_cycle(t)["kind"].alias("cycle_kind"))
 
 
 @query("""SELECT source AS label, count(*) AS hours, CASE WHEN count(*) FILTER (lang = 'en') < 20 THEN 'few_english' END AS reason FROM documents GROUP BY source""")

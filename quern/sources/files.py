@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -77,13 +77,10 @@ def sha256_lines(rows: DataFrame, order: str, value: str, by: list[str] | None =
 
 def extract_objects(rows: DataFrame, column: str, paths: list[str], schema: str) -> DataFrame:
     """Objects found at known JSON paths (an object or a list of objects), in the order of the paths."""
-    found = F.concat(
-        *(
-            F.coalesce(
-                F.transform(F.coalesce(F.from_json(F.get_json_object(column, p), f"array<{schema}>"), F.array()), lambda o, p=p: F.struct(F.lit(p).alias("at"), o.alias("o"))),
-                F.array(),
-            )
-            for p in paths
-        )
-    )
+
+    def at(path: str) -> Column:
+        listed = F.coalesce(F.from_json(F.get_json_object(column, path), f"array<{schema}>"), F.array())
+        return F.coalesce(F.transform(listed, lambda o: F.struct(F.lit(path).alias("at"), o.alias("o"))), F.array())
+
+    found = F.concat(*map(at, paths))
     return rows.select(F.posexplode(found).alias("place", "x")).select("place", "x.at", "x.o.*")

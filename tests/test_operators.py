@@ -137,8 +137,19 @@ def test_counts_and_batches(spark):
     assert sorted(fixed) == [1, 1, 2, 3, 4, 5] and all(fixed[k] != fixed[k + 1] for k in (0, 2, 4))
     with pytest.raises(ValueError):
         split.repair_duplicates([1, 1], 2)
-    order = split.spread_batches(3, 7)
-    assert order.count("official") == 3 and len(order) == 10
+    assert split.repair_duplicates([1, 1, 2, 3, 4, 5], 2) == [1, 2, 1, 3, 4, 5]
+    assert split.repair_duplicates([1, 1, 2, 3, 4, 5], 2, {1: "a", 2: "b", 3: "b", 4: "a", 5: "b"}) == [1, 4, 2, 3, 1, 5]
+    with pytest.raises(ValueError):
+        split.repair_duplicates([1, 2, 3, 3], 2)
+    numbered = lambda n: rows.where(f"i < {n}").withColumnRenamed("i", "b")
+    for official, other in ((3, 7), (1, 3), (0, 4), (5, 0), (4, 4), (9, 2)):
+        order = {r["place"]: r["kind"] for r in split.spread_batches(numbered(official), numbered(other), "b").collect()}
+        held, want = 0, []
+        for k in range(official + other):
+            due = held * (official + other) <= k * official and held < official
+            held += due
+            want.append("official" if due else "other")
+        assert [order[k] for k in range(official + other)] == want
     mixed = split.blocks_with_one(rows.where("i < 60"), rows.where("i >= 60"), "i", 5, 20, 0, "s").collect()
     assert sorted(r["draw"] for r in mixed) == list(range(100))
     assert all(sum(r["pool"] == "other" for r in mixed if r["draw"] // 5 == k) == 1 for k in range(20))

@@ -20,6 +20,8 @@ HOT_KEYS, SALTS, BROADCAST_IDS = 1000, 64, 1 << 18
 
 #: rows of an Arrow batch: whole texts are long, and several batches are in memory at a time in the JVM and in Python
 BATCH_ROWS = 1000
+#: bytes of batches that an operator may work on at a time
+TOGETHER = 24 << 20
 
 
 def in_batches(rows: DataFrame, run: Callable[[Iterator], Iterator], schema) -> DataFrame:
@@ -30,6 +32,18 @@ def in_batches(rows: DataFrame, run: Callable[[Iterator], Iterator], schema) ->
     return rows.mapInArrow(lean(run), schema)
 
 
+def together(batches: Iterator[pa.RecordBatch], size: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to `size` bytes: the more text, the fewer different pieces in proportion."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import in_batches, shared_path, table
+from .common import in_batches, shared_path, table, together
 
 MAGIC = b"RPG2"
 FIELDS = ("doc_id", "symbols_at", "ids_at", "left", "right", "length", "symbols")
@@ -41,7 +41,6 @@ MAX_ROUNDS = 12
 #: a round that shortens the sequence by less than this share is the last
 MIN_GAIN = 0.01
 MAX_CHUNKS, MAX_WORDS, LONG = 5 << 18, 1 << 18, 48
-TOGETHER = 24 << 20
 
 
 class ByteBpe:
@@ -406,18 +405,6 @@ def _encoder(text: str) -> Batches:
     return _encoders[key]
 
 
-def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches put together up to TOGETHER bytes: the more text, the fewer different pieces in proportion."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(b.nbytes for b in held) >= TOGETHER:
-            yield pa.concat_batches(held)
-            held = []
-    if held:
-        yield pa.concat_batches(held)
-
-
 def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, shard_ids: int = SHARD_IDS, partitions: int | None = None) -> None:
     """Writes the documents' ids, each document's ended by end_id, to path in ascending doc_id order.
 
@@ -453,7 +440,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
                 names=["part", "shard", "before", "docs", "ids", "body"],
             )
 
-        for batch in _together(batches):
+        for batch in together(batches):
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
                 names.append(doc_id)
                 bodies.append(ids)

@@ -20,17 +20,19 @@ from array import array
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_batches, table
+from .common import in_batches, table, together
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MAX_MODEL_BYTES = 64 << 20
 #: entries of a cache's younger half
-MAX_CHUNKS, MAX_SEGMENTS, MAX_PAIRS, LONG = 1 << 18, 1 << 17, 1 << 17, 48
+MAX_CHUNKS, MAX_SEGMENTS, MAX_PAIRS, LONG = 1 << 14, 1 << 18, 1 << 18, 48
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int, object]]:
@@ -106,8 +108,12 @@ class Model:
             raise ValueError("only merge-type models with identity normalisation and no user-defined or unused pieces are supported")
         self.unk = self.types.index(UNKNOWN)
         self.rank = {p: (-s, i) for i, (p, s, t) in enumerate(zip(self.pieces, self.scores, self.types, strict=True)) if t == NORMAL}
+        if any(SPACE in p.lstrip(SPACE) for p in self.rank):
+            raise ValueError("pieces with a space mark after another character are not supported")
         self.byte_ids = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == BYTE}
         self.neighbours = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
+        #: whether a piece could reach over a line's end
+        self.newline_joins = any("\n" in p for p in self.neighbours)
         reachable = [p for p in self.rank if len(p) == 1 or self.merge(p) == [p]]
         self.automaton = ahocorasick.Automaton()
         for p in reachable:
@@ -124,6 +130,7 @@ class Model:
         self.chunks: dict[str, bytes] = {}
         self.old_chunks: dict[str, bytes] = {}
         self.segments: dict[str, bytes] = {}
+        self.old_segments: dict[str, bytes] = {}
         self.split = re.compile(" *[^ ]+| +").findall
 
     def merge(self, text: str) -> list[str]:
@@ -186,10 +193,12 @@ class Model:
     def _segment(self, text: str) -> bytes:
         ids = self.segments.get(text)
         if ids is None:
-            ids = self._ids(self.backtrack(text))
+            ids = self.old_segments.get(text)
+            if ids is None:
+                ids = self._ids(self.backtrack(text))
             if len(text) <= LONG:
                 if len(self.segments) >= MAX_SEGMENTS:
-                    self.segments.clear()
+                    self.old_segments, self.segments = self.segments, {}
                 self.segments[text] = ids
         return ids
 
@@ -223,6 +232,38 @@ class Model:
             out.append(ids)
         return b"".join(out)
 
+    def encode_batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text, as encode gives them; null counts as empty.
+
+        The words between single spaces and at line starts are told apart by Arrow, and each different one is
+        encoded once. Texts with other runs of spaces or with space marks are encoded one by one.
+        """
+        texts = pc.fill_null(texts, "")
+        if not self.dummy_prefix or self.newline_joins:
+            return [np.frombuffer(self.encode(t.as_py()), "<u4") for t in texts]
+        slow = pc.match_substring_regex(texts, r"  | \n|\A | \z|\A\z|▁").to_numpy(zero_copy_only=False)
+        out: list[np.ndarray | None] = [None] * len(texts)
+        for i in np.flatnonzero(slow).tolist():
+            out[i] = np.frombuffer(self.encode(texts[i].as_py()), "<u4")
+        fast = np.flatnonzero(~slow)
+        if not len(fast):
+            return out
+        words = pc.split_pattern(pc.replace_substring(texts.take(pa.array(fast)), "\n", " \n"), " ")
+        told = words.flatten().dictionary_encode()
+        ids = [self._segment(SPACE + w) if w.isalpha() else self._chunk(w if w.startswith("\n") else " " + w) for w in told.dictionary.to_pylist()]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(counts) - counts
+        code = told.indices.to_numpy()
+        size = counts[code]
+        ends = np.cumsum(size)
+        at = np.repeat((starts[code] - ends + size).astype(np.int32), size)  # a batch has far fewer than 2**31 ids
+        at += np.arange(ends[-1], dtype=np.int32)
+        found = np.frombuffer(b"".join(ids), "<u4")[at]
+        last = words.offsets.to_numpy()[1:] - words.offsets[0].as_py()
+        for i, part in zip(fast.tolist(), np.split(found, ends[last - 1][:-1]), strict=True):
+            out[i] = part
+        return out
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids: control pieces are empty, the first space mark goes, byte pieces join to characters."""
         data = b"".join(map(self.surface.__getitem__, ids))
@@ -298,12 +339,12 @@ def encode_decode(docs: DataFrame, model_path: str, bos: bool = True, eos: bool
         model = model_of(shared.value)
         head = struct.pack("<I", model.bos) if bos else b""
         tail = struct.pack("<I", model.eos) if eos else b""
-        for batch in batches:
+        for batch in together(batches, 8 << 20):
+            found = model.encode_batch(batch.column(1))
             for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                encoded = [head + model.encode(t.as_py() or "") + tail for t in part.column(1)]
+                encoded = [head + ids.tobytes() + tail for ids in found[at : at + 256]]
                 decoded = [model.decode(memoryview(e).cast("I").tolist()) for e in encoded]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(encoded, pa.binary()), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), pa.array(encoded, pa.binary()), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
 
     return in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, ids binary, decoded string")
 

@@ -41,6 +41,10 @@ def test_sentencepiece(spark, awkward):
         ids = memoryview(own.encode(t)).cast("I").tolist() if t else []
         assert ids == lib.encode(t), t[:60]
         assert own.decode([1, *ids, 2]) == lib.decode([1, *ids, 2])
+    texts += ["".join(rng.choice([" ", " ", "\n", "\n\n", "ab", "é中", "x.", "▁", "  ", "the"][: rng.choice((7, 10))]) for _ in range(rng.randint(0, 12))) for _ in range(1500)]
+    for at in range(0, len(texts), 700):
+        got = own.encode_batch(pa.array([*texts[at : at + 700], None], pa.string()).slice(3))
+        assert [g.tolist() for g in got] == [*map(lib.encode, texts[at + 3 : at + 700]), []]
     for _ in range(500):
         ids = [rng.randrange(3, 259) if rng.random() < 0.5 else rng.randrange(0, 32000) for _ in range(9)]
         assert own.decode(ids) == lib.decode(ids)

@@ -14,7 +14,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents without any letter (and null texts) go, and those that the network finds in no learned language.
 
     The latter are those whose share of undetermined positions reaches the network's cutoff, calibrated on labelled rows.
-    Where no language could be learned, only the letters count.
+    Where no language could be learned, only the letters count. Each row is judged by its text alone, so repeated rows
+    share their fate; a null doc_id or lang only keeps a row from training. An empty table stays empty.
     """
     net, cutoff = language_id.fit_with_noise(docs, ~language_id.held_out(F.col("doc_id"), 4, 2))
     if not net.languages:
@@ -24,7 +25,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score reaches 0.5 go."""
+    """Documents whose score reaches 0.5 go.
+
+    Null and empty texts are scored as texts without words and stay; without labels of both kinds nothing goes. Each
+    row is judged by its text alone.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~language_id.held_out(F.col("doc_id"), 5, 0))
     return toxicity.score(docs, model, ("__score", "__toxic")).where("__toxic = 0").select(*docs.columns)
 
@@ -49,7 +54,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, ids_sha256, decoded_sha256."""
+    """doc_id, n_tokens, ids, ids_sha256, decoded_sha256, for every row; a null text counts as empty."""
     encoded = sentencepiece_bpe.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return encoded.select(
         "doc_id",
@@ -73,7 +78,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over `documents`, each written to the shared folder and read again."""
+    """The stages over `documents`, each written to the shared folder and read again. Further columns travel along."""
     folder = shared_path(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):

@@ -82,10 +82,24 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: what a worker keeps from task to task: one operator's tables, until another operator's task comes
+_kept: dict[str, object] = {}
+
+
+def kept(owner: str, key: str, make: Callable[[], object]) -> object:
+    """What make() gives, made once in a worker for tasks of the same owner (a module's name) and key."""
+    if _kept.get("of") != (owner, key):
+        _kept.clear()
+        _kept.update(value=make(), of=(owner, key))
+    return _kept["value"]
+
+
 def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A function for mapInArrow that hands its worker's free memory back to the system at the end of a task."""
 
     def wrapped(batches: Iterator) -> Iterator:
+        if _kept and _kept["of"][0] != run.__module__:
+            _kept.clear()
         try:
             yield from run(batches)
         finally:

@@ -29,12 +29,10 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import by_ids, components, cut, in_batches, spread_join, table
 
@@ -198,14 +196,13 @@ def _confirm(pairs: DataFrame, known: DataFrame, docs: DataFrame, k: int, thresh
     """src, dst of the pairs whose estimate is not far below the threshold and whose full sets reach it."""
     margin = threshold / 100 - 5 * math.sqrt(threshold / 100 * (1 - threshold / 100) / m)
 
-    @F.pandas_udf(T.BooleanType())
-    def near(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
-        if not len(a):
-            return pd.Series([], dtype=bool)
-        x = np.frombuffer(b"".join(a), np.uint16).reshape(len(a), -1)
-        y = np.frombuffer(b"".join(b), np.uint16).reshape(len(b), -1)
-        few = np.minimum(na, nb) < 4 * m  # registers of small sets depend on each other; those go on to the sets
-        return pd.Series((estimate(x, y) >= margin) | few.to_numpy())
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in (4, 5))
+            few = np.minimum(batch.column(6).to_numpy(), batch.column(7).to_numpy()) < 4 * m  # registers of small sets depend on each other; those go on to the sets
+            yield batch.select([0, 1, 2, 3]).filter(pa.array((estimate(x, y) >= margin) | few))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
@@ -221,7 +218,8 @@ def _confirm(pairs: DataFrame, known: DataFrame, docs: DataFrame, k: int, thresh
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda name, x: known.select(F.col("doc_id").alias(name), *(F.col(c).alias(f"{c}_{x}") for c in ("tag", "regs", "n")))
-    screened = cut(pairs.join(side("src", "a"), "src").join(side("dst", "b"), "dst").where(near("regs_a", "regs_b", "n_a", "n_b")).select("src", "tag_a", "dst", "tag_b"))
+    met = pairs.join(side("src", "a"), "src").join(side("dst", "b"), "dst").select("src", "tag_a", "dst", "tag_b", "regs_a", "regs_b", "n_a", "n_b")
+    screened = cut(in_batches(met, screen, "src long, tag_a long, dst long, tag_b long"))
     wanted = screened.select(F.col("src").alias("doc_id"), F.col("tag_a").alias("tag")).unionByName(screened.select(F.col("dst").alias("doc_id"), F.col("tag_b").alias("tag"))).distinct()
     texts = by_ids(docs, wanted, "left_semi").select("doc_id", "text")
     # a hub is a dst: its text joins last and does not travel with every pair

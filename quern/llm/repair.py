@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import in_batches, shared_path, table, together
+from .common import in_batches, kept, shared_path, table, together
 
 MAGIC = b"RPG2"
 FIELDS = ("doc_id", "symbols_at", "ids_at", "left", "right", "length", "symbols")
@@ -394,15 +394,8 @@ class Shard:
         raise IndexError(j)
 
 
-_encoders: dict[str, Batches] = {}
-
-
 def _encoder(text: str) -> Batches:
-    key = hashlib.sha256(text.encode()).hexdigest()
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Batches(ByteBpe(text))
-    return _encoders[key]
+    return kept(__name__, hashlib.sha256(text.encode()).hexdigest(), lambda: Batches(ByteBpe(text)))
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, shard_ids: int = SHARD_IDS, partitions: int | None = None) -> None:

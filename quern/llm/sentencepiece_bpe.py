@@ -26,13 +26,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_batches, table, together
+from .common import in_batches, kept, table, together
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MAX_MODEL_BYTES = 64 << 20
 #: entries of a cache's younger half
-MAX_CHUNKS, MAX_SEGMENTS, MAX_PAIRS, LONG = 1 << 14, 1 << 18, 1 << 18, 48
+MAX_CHUNKS, MAX_SEGMENTS, MAX_PAIRS, LONG = 1 << 14, 1 << 17, 3 << 16, 48
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int, object]]:
@@ -126,7 +126,7 @@ class Model:
             b"" if t == CONTROL else self.unk_surface.encode() if t == UNKNOWN else bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(SPACE, " ").encode()
             for p, t in zip(self.pieces, self.types, strict=True)
         ]
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.fits: dict[str, bool] = {}
         self.chunks: dict[str, bytes] = {}
         self.old_chunks: dict[str, bytes] = {}
         self.segments: dict[str, bytes] = {}
@@ -145,11 +145,12 @@ class Model:
         return parts
 
     def compatible(self, a: str, b: str) -> bool:
-        got = self.fits.get((a, b))
+        pair = f"{a} {b}"  # a segment holds no space
+        got = self.fits.get(pair)
         if got is None:
             if len(self.fits) >= MAX_PAIRS:
                 self.fits.clear()
-            got = self.fits[a, b] = a[-1] + b[0] not in self.neighbours or self.merge(a + b) == [a, b]
+            got = self.fits[pair] = a[-1] + b[0] not in self.neighbours or self.merge(a + b) == [a, b]
         return got
 
     def backtrack(self, text: str) -> list[str]:
@@ -308,15 +309,8 @@ class Model:
         return "".join(out)
 
 
-_models: dict[str, Model] = {}
-
-
 def model_of(data: bytes) -> Model:
-    key = hashlib.sha256(data).hexdigest()
-    if key not in _models:
-        _models.clear()
-        _models[key] = Model(data)
-    return _models[key]
+    return kept(__name__, hashlib.sha256(data).hexdigest(), lambda: Model(data))
 
 
 def model_bytes(path: str) -> bytes:
@@ -339,7 +333,7 @@ def encode_decode(docs: DataFrame, model_path: str, bos: bool = True, eos: bool
         model = model_of(shared.value)
         head = struct.pack("<I", model.bos) if bos else b""
         tail = struct.pack("<I", model.eos) if eos else b""
-        for batch in together(batches, 8 << 20):
+        for batch in together(batches, 4 << 20):
             found = model.encode_batch(batch.column(1))
             for at in range(0, batch.num_rows, 256):
                 encoded = [head + ids.tobytes() + tail for ids in found[at : at + 256]]

@@ -1,6 +1,7 @@
 """Operators against golden values and plain Python models."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -199,6 +200,40 @@ def test_consensus(spark):
     assert rows.select(consensus.oracle(rows, "texts", "ref").alias("m")).first()["m"] == 2
 
 
+def test_nearest(spark):
+    """Against the plain table; two long texts, whose tables have 3.6e9 places each, within seconds."""
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(5)
+    some = lambda most: "".join(rng.choice("abé𠮶") for _ in range(rng.randint(0, most)))
+    cases = []
+    for _ in range(300):
+        ref = some(rng.choice([3, 12, 90]))
+        texts = [rng.choice([some(90), some(4), ref, ref[::-1], ref.replace("a", "b"), ref.replace("ab", "é"), ref.replace("b", ""), ref[1:] + ref[:1], None]) for _ in range(rng.randint(0, 5))]
+        cases.append((texts, ref))
+        for t in filter(None, texts):
+            assert consensus.edits(ref, t) == consensus.edits(t, ref) == distance(ref, t)
+    cases += [(["a", "b"], None), (None, "a"), ([None, None], "a"), ([None, "zzz"], "a"), ([], "a")]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, texts array<string>, ref string")
+    for r in rows.select("i", consensus.oracle(rows, "texts", "ref").alias("m")).collect():
+        texts, ref = cases[r["i"]]
+        want = None if not texts else 0 if ref is None else min(range(len(texts)), key=lambda k: (texts[k] is None, texts[k] is not None and distance(texts[k], ref), k))
+        assert r["m"] == want
+
+    long = "".join(rng.choice("aehinrt ") for _ in range(60_000))
+    rows = spark.createDataFrame([([long[::-1], long[9:] + "in the air", long.replace("th", "d")], long)], "texts array<string>, ref string")
+    began = time.monotonic()
+    assert rows.select(consensus.oracle(rows, "texts", "ref").alias("m")).first()["m"] == 1
+    assert time.monotonic() - began < 15
+
+
 def test_tokens(spark):
     def period(ids, widest):
         best = None

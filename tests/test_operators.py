@@ -259,6 +259,38 @@ def test_tokens(spark):
     assert one(spark, [1, 2, 1], lambda c: tokens.drop_special(c, [2]), "array<int>") == [1, 1]
 
 
+def test_end_cycles(spark):
+    """Repeats at the end against their definition, nulls among the ids; cycles of 20,000 ids within seconds."""
+
+    def repeats(ids, width):
+        n = 0
+        while (n + 1) * width <= len(ids) and ids[len(ids) - (n + 1) * width : len(ids) - n * width] == ids[len(ids) - width :]:
+            n += 1
+        return n
+
+    rng = random.Random(6)
+    cases = [[rng.choice([1, 2, None]) for _ in range(rng.randint(0, 9))] + [rng.choice([1, 2, None]) for _ in range(rng.randint(0, 6))] * rng.randint(0, 9) for _ in range(200)] + [None]
+    ids = F.col("ids")
+    rows = spark.createDataFrame(list(enumerate(cases)), "i int, ids array<int>").withColumn("found", tokens.end_repeats(ids, 16))
+    forms = rows.select("i", "found", tokens.trailing_cycle(ids).alias("c"), tokens.trailing_cycle(ids, F.col("found")).alias("d"), tokens.trailing_period(ids, 8).alias("p"), tokens.trailing_period(ids, 8, F.col("found")).alias("q"), tokens.runaway_reasons(ids, F.lit(True)).alias("r"), tokens.runaway_reasons(ids, F.lit(True), F.col("found")).alias("s")).collect()
+    for r in forms:
+        assert (r["c"], r["p"], r["r"]) == (r["d"], r["q"], r["s"])
+        if cases[r["i"]] is None:
+            assert r["c"] is None and r["p"] is None
+            continue
+        n = [repeats(cases[r["i"]], w) for w in range(1, 17)]
+        assert r["found"] == n
+        assert r["c"] == next((w for w in range(1, 5) if n[w - 1] >= 4 and n[w - 1] * w >= 8), None)
+        best = max(((n[w - 1] * w, n[w - 1], -w) for w in range(1, 9) if n[w - 1] >= 2), default=None)
+        assert best == (r["p"] and (r["p"]["coverage"], r["p"]["repeats"], -r["p"]["size"]))
+
+    rows = spark.createDataFrame([([7] * 20_000,), ([3, 4, 5, 6] * 5_000,)], "ids array<int>")
+    began = time.monotonic()
+    got = rows.select(tokens.trailing_period(ids).alias("p"), tokens.trailing_cycle(ids).alias("c"), tokens.runaway_reasons(ids, F.lit(True)).alias("r")).collect()
+    assert time.monotonic() - began < 15
+    assert [(r["p"]["size"], r["p"]["repeats"], r["c"], len(r["r"])) for r in got] == [(1, 20_000, 1, 3), (4, 5_000, 4, 3)]
+
+
 def test_joins_and_reports(spark, tmp_path):
     rows = spark.createDataFrame([(1, 4, 4), (2, 9, 0)], "id int, x long, y long")
     cells = spark.createDataFrame([("a", 0, 0), ("b", 5, 5), ("c", 9, 1)], "cell string, x long, y long")
